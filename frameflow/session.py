@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
 import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +61,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _ROOTS[app][1]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once a session, unless PYTHONPATH (which they inherit) already has it."""
+    package = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    inherited = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if app in _SHIPPED or str(package.parent) in inherited:
+        return
+    _SHIPPED.add(app)
+    path = Path(tempfile.mkdtemp(prefix="frameflow-")) / "frameflow_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
