@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.clusters import clusters, described
 from frameflow.llm.knn import close_pairs, similar
+from frameflow.llm.packing import packed_containers
 from frameflow.llm.runs import collapsed_runs
+from frameflow.llm.spans import share_of_records, shared_spans
+from frameflow.llm.tokens import encode_column
 from frameflow.llm.vectors import dense_vectors, descriptor_vectors
 from frameflow.operators.ordered import neighbour_pairs
 from frameflow.session import partitions_for
@@ -68,5 +71,35 @@ def p4_apart(spark: SparkSession, d: str) -> DataFrame:
     return members.filter("cluster is null").select(F.substring_index("kind", "|", -1).alias("feature_name"), F.col("id").alias("descriptor_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_runs, p4_found, p4_clusters, p4_apart)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every post as ids of byte_bpe_50k, without special tokens."""
+    return encode_column(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Posts in containers of 2,048 tokens: container, doc_id and token range."""
+    return packed_containers(table(spark, d, "documents"), 2048)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Of each container its number of parts, tokens and unused space."""
+    tokens = F.sum(F.col("token_end") - F.col("token_start"))
+    return p7_pack(spark, d).groupBy("container").agg(F.count(F.lit(1)).alias("n_parts"), tokens.alias("tokens"), (F.lit(2048) - tokens).alias("unused"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Maximal runs of characters that lie in a substring of 100 that another post has too."""
+    return shared_spans(table(spark, d, "documents"), 100)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every post is shared."""
+    documents = table(spark, d, "documents")
+    return share_of_records(documents, shared_spans(documents, 100))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_neighbours, p2_found, p2_runs, p4_found, p4_clusters, p4_apart, p6_ids, p7_pack, p7_containers, p8_found, p8_shares)
+}
 ORACLES: dict[str, str] = {}
