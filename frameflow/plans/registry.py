@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from frameflow.plans import messages
+from frameflow.plans import matching, messages, particles
 
-MODULES = [messages]
+MODULES = [messages, particles, matching]
 
 
 def queries() -> dict:
