@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from frameflow.plans import matching, messages, particles
+from frameflow.plans import matching, messages, particles, pixels, relational
 
-MODULES = [messages, particles, matching]
+MODULES = [messages, particles, matching, pixels, relational]
 
 
 def queries() -> dict:
