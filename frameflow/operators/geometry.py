@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameflow.functions.columns import base_stream, contains_point, intersect, is_empty, pad, tile_suffix
-from frameflow.schema import bbox, inherit_metadata
+from frameflow.schema import BBOX, bbox, inherit_metadata
 
 
 def tile_boxes(box: Column, rows: int, cols: int, overlap: int = 0) -> Column:
@@ -99,10 +99,13 @@ def combine_features(particles: DataFrame, expected: int | None = None) -> DataF
     """Frames and Features of one (stream_id, sequence_nr) into one Frame: features merged by name, sparse lists joined.
 
     particles: (stream_id, sequence_nr, type, ts_ms, bbox, features, name, sparse); a frame row has ``features``, a
-    feature row ``name`` and ``sparse``. The first frame gives ts_ms and bbox; without one the frame is empty: type
+    feature row ``name`` and ``sparse``; columns that are missing are null. The first frame gives ts_ms and bbox; without one the frame is empty: type
     none, ts 0, an empty box. With ``expected``, only groups of exactly that many particles (others still wait).
     """
     keys = ["stream_id", "sequence_nr"]
+    sparse = f"array<struct<bbox:{BBOX.simpleString()}>>"
+    kinds = {"ts_ms": "long", "bbox": BBOX.simpleString(), "features": f"array<struct<name:string,sparse:{sparse}>>", "name": "string", "sparse": sparse}
+    particles = particles.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in particles.columns})
     own = F.transform(F.coalesce(F.col("features"), F.array()), lambda f: F.struct(f["name"].alias("name"), f["sparse"].alias("sparse")))
     listed = F.when(F.col("type") == "frame", own).otherwise(F.array(F.struct(F.col("name").alias("name"), F.col("sparse").alias("sparse"))))
     head = particles.groupBy(*keys).agg(

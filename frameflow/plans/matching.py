@@ -27,6 +27,12 @@ def _sql(part: str) -> str:
 select query_id, part, best_id, round(d0, 4) as d0 from b where d0 < {RATIO} * d1"""
 
 
+def _requests(part: str) -> str:
+    return f"""with m as ({_sql(part)}), c as (select query_id % 25 as request_id, label::varchar as prototype, count(*) as n from m join embeddings e on e.vec_id = m.best_id group by 1, 2),
+  j as (select request_id, '{{' || string_agg('"' || prototype || '":' || n, ',' order by prototype) || '}}' as result from c group by 1)
+select r.request_id, coalesce(j.result, '{{}}') as result from (select distinct vec_id % 25 as request_id from embeddings where vec_id >= 100) r left join j on r.request_id = j.request_id"""
+
+
 def _out(df):
     return df.select("query_id", "part", "best_id", F.round("d0", 4).alias("d0"))
 
@@ -60,7 +66,5 @@ ORACLES = {
     "knn_ratio_match": _sql("p.label::varchar"),
     "knn_ratio_global": _sql("''"),
     "knn_ratio_sharded": _sql("(p.proto_id % 2)::varchar"),
-    "request_result": f"""with m as ({_sql("''")}), c as (select query_id % 25 as request_id, label::varchar as prototype, count(*) as n from m join embeddings e on e.vec_id = m.best_id group by 1, 2),
-  j as (select request_id, '{{' || string_agg('"' || prototype || '":' || n, ',' order by prototype) || '}}' as result from c group by 1)
-select r.request_id, coalesce(j.result, '{{}}') as result from (select distinct vec_id % 25 as request_id from embeddings where vec_id >= 100) r left join j on r.request_id = j.request_id""",
+    "request_result": _requests("''"),
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from frameflow.plans import matching, messages, particles, pixels, relational
+from frameflow.plans import matching, messages, particles, pipelines, pixels, relational
 
-MODULES = [messages, particles, matching, pixels, relational]
+MODULES = [messages, particles, matching, pixels, pipelines, relational]
 
 
 def queries() -> dict:
