@@ -35,22 +35,20 @@ def density_peaks(ids: np.ndarray, u: np.ndarray, weight: np.ndarray, link: floa
     """(density, parent, root) of each row of a block; a peak is its own parent and root."""
     s = u @ u.T
     np.fill_diagonal(s, 0)
-    s[s < link] = 0
-    density = s @ weight.astype(np.float32) + weight.astype(np.float32)
-    order = np.lexsort((ids, -density))  # the densest first
-    s = s[np.ix_(order, order)]
-    s = np.tril(s, -1)  # only denser neighbours stay
+    s *= s >= link
+    w = weight.astype(np.float32)
+    density = s @ w + w
+    rank = np.empty(len(s), np.int32)
+    rank[np.lexsort((ids, -density))] = np.arange(len(s), dtype=np.int32)  # the densest first
+    s *= rank[None, :] < rank[:, None]  # only denser neighbours stay
     near = s.argmax(axis=1)
     parent = np.where(s[np.arange(len(s)), near] > 0, near, np.arange(len(s)))
     root = parent
     while True:
         up = root[root]
         if (up == root).all():
-            break
+            return density, parent, root
         root = up
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return density, order[parent[back]], order[root[back]]
 
 
 def _level(block: int, link: float, forest: Forest, next_tree: int, weighted: bool, least: float):
