@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameflow.session import discard, materialize
+from frameflow.session import materialize
 
 #: Interval tables up to this many rows (about 60 bytes each) are broadcast, larger ones meet the rows salted.
 BROADCAST_ROWS = 200_000
@@ -103,4 +103,4 @@ def heavy_keys(profile: DataFrame, percent: int) -> DataFrame:
     return profile.filter(F.col("key").isNotNull() & (F.col("n_rows") * 100 >= F.lit(total * percent)))
 
 
-__all__ = ["discard", "heavy_keys", "key_profile"]
+__all__ = ["heavy_keys", "key_profile"]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameflow.schema import normal_stream
-from frameflow.session import discard, materialize, partitions_for, release
+from frameflow.session import materialize, partitions_for, release
 
 LAST = 2**63 - 1
 RUN_SCHEMA = "delivery_id long, prefix int, n long, h1 binary, h2 binary, at binary, did binary"
@@ -222,11 +222,16 @@ def duplicate_deliveries(frames: DataFrame, rounds: int = 3, ids_per_prefix: int
 
 
 def kept_messages(frames: DataFrame, rounds: int = 3) -> DataFrame:
-    """One row per message, its kept copy, with all columns of the input and the key in normal form."""
+    """One row per message, its kept copy, with all columns of the input and the key in normal form.
+
+    A delivery is named by its delivery_id: rows that repeat one count once, rows without one are left out.
+    """
     key = {c: k for c, k in zip(("stream_id", "sequence_nr", "request_id"), message_key(), strict=True)}
-    rows = frames.filter(F.col("stream_id").isNotNull() & F.col("sequence_nr").isNotNull())
-    kept = rows.join(duplicate_deliveries(frames, rounds), "delivery_id", "left_anti")
-    return kept.withColumns(key)
+    rows = frames.filter(F.col("stream_id").isNotNull() & F.col("sequence_nr").isNotNull() & F.col("delivery_id").isNotNull())
+    again = rows.groupBy("delivery_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not again.isEmpty():
+        rows = rows.dropDuplicates(["delivery_id"])
+    return rows.join(duplicate_deliveries(rows, rounds), "delivery_id", "left_anti").withColumns(key)
 
 
-__all__ = ["MessageIndex", "arrival_key", "discard", "duplicate_deliveries", "kept_messages", "message_key"]
+__all__ = ["MessageIndex", "arrival_key", "duplicate_deliveries", "kept_messages", "message_key"]
