@@ -201,10 +201,11 @@ def clusters(
         ranged = peaks.repartitionByRange(at, "kind", "code", "id").sortWithinPartitions("kind", "code", "id")
         peaks = materialize(ranged.select("kind", "id", "vec", "weight").mapInArrow(_level(block, min_cosine, forest, turn % trees, True, least_peak), LEVEL), "peaks")
         count = peaks.count()
-    means = materialize(_peak_rows(peaks), "means")
+    # A record counts once per tree; a peak that draws under half of the least cluster in each starts none.
+    means = materialize(_peak_rows(peaks.filter(F.col("weight") >= trees * min_size / 2)), "means")
     close = (1 + min_cosine) / 2
     for floor in (0.9 * min_cosine, min_cosine, min_cosine):
-        means = materialize(_assigned(table, _chunks(means, close), floor, True), "means").filter(F.col("n") >= least_peak)
+        means = materialize(_assigned(table, _chunks(means, close), floor, True), "means").filter(F.col("n") >= 0.75 * min_size)
     labelled = materialize(_assigned(table, _chunks(means.filter(F.col("n") >= min_size), close), min_cosine, False), "labels")
     sizes = labelled.filter("label >= 0").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster")).filter(F.col("size") >= min_size)
     out = labelled.join(sizes, ["kind", "label"], "left").select("kind", "id", "cluster", "size", F.when(F.col("cluster").isNotNull(), F.col("cosine")).alias("cosine"))
