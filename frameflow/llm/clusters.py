@@ -31,8 +31,11 @@ LEVEL = "kind string, id long, code long, vec binary, weight double"
 MEANS_FLOATS = 16_000_000
 
 
-def density_peaks(ids: np.ndarray, u: np.ndarray, weight: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(density, parent, root) of each row of a block; a peak is its own parent and root."""
+def density_peaks(ids: np.ndarray, u: np.ndarray, weight: np.ndarray, link: float, follow: float = -1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(density, parent, root) of each row of a block; a peak is its own parent and root.
+
+    Neighbours from ``link`` on count for the density, those from ``follow`` on (and link) may be pointed to.
+    """
     s = u @ u.T
     np.fill_diagonal(s, 0)
     s *= s >= link
@@ -42,7 +45,7 @@ def density_peaks(ids: np.ndarray, u: np.ndarray, weight: np.ndarray, link: floa
     rank[np.lexsort((ids, -density))] = np.arange(len(s), dtype=np.int32)  # the densest first
     s *= rank[None, :] < rank[:, None]  # only denser neighbours stay
     near = s.argmax(axis=1)
-    parent = np.where(s[np.arange(len(s)), near] > 0, near, np.arange(len(s)))
+    parent = np.where(s[np.arange(len(s)), near] > max(follow, 0), near, np.arange(len(s)))
     root = parent
     while True:
         up = root[root]
@@ -51,11 +54,11 @@ def density_peaks(ids: np.ndarray, u: np.ndarray, weight: np.ndarray, link: floa
         root = up
 
 
-def _level(block: int, link: float, forest: Forest, next_tree: int, weighted: bool, least: float):
+def _level(block: int, link: float, follow: float, forest: Forest, next_tree: int, weighted: bool, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, ids, u, cols in blocks(batches, block, ("weight",) if weighted else ()):
             w = cols[0] if weighted else np.ones(len(ids))
-            _, _, root = density_peaks(ids, u, w, link)
+            _, _, root = density_peaks(ids, u, w, link, follow)
             peaks, which = np.unique(root, return_inverse=True)
             total = np.bincount(which, w)
             o = np.argsort(which, kind="stable")
@@ -186,11 +189,12 @@ def clusters(
     table = materialize(packed(vectors, forest), "vectors")
     parts = partitions_for(spark, n, 64 * 1024)
     link = 0.95 * min_cosine**2  # two vectors at min_cosine from one mean have about the square of it between them
+    follow = 0.85 * min_cosine  # the nearest of many is nearer; a lower bound would lead peaks into other clusters
     peaks = None
     for t in range(trees):
         sorted_ = table.select("kind", F.col(f"c{t}").alias("code"), "id", "vec").repartitionByRange(parts, "kind", "code", "id").sortWithinPartitions("kind", "code", "id")
         # The next tree's order brings together what this one's blocks kept apart.
-        level = materialize(sorted_.select("kind", "id", "vec").mapInArrow(_level(block, link, forest, 0, False, least_peak), LEVEL), "peaks")
+        level = materialize(sorted_.select("kind", "id", "vec").mapInArrow(_level(block, link, follow, forest, 0, False, least_peak), LEVEL), "peaks")
         peaks = level if peaks is None else peaks.unionByName(level)
         del sorted_
         release(spark)
@@ -199,7 +203,7 @@ def clusters(
         before, turn = count, turn + 1
         at = max(1, -(-count // (8 * block)))
         ranged = peaks.repartitionByRange(at, "kind", "code", "id").sortWithinPartitions("kind", "code", "id")
-        peaks = materialize(ranged.select("kind", "id", "vec", "weight").mapInArrow(_level(block, min_cosine, forest, turn % trees, True, least_peak), LEVEL), "peaks")
+        peaks = materialize(ranged.select("kind", "id", "vec", "weight").mapInArrow(_level(block, min_cosine, min_cosine, forest, turn % trees, True, least_peak), LEVEL), "peaks")
         count = peaks.count()
     # A record counts once per tree; a peak that draws under half of the least cluster in each starts none.
     means = materialize(_peak_rows(peaks.filter(F.col("weight") >= trees * min_size / 2)), "means")
