@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.llm.tokens import SEPARATOR, code_points, mixed, text_slices
-from frameflow.session import discard, materialize, release
+from frameflow.session import materialize, release
 
 GRAM = 24
 INDEX_BITS = 34
@@ -233,6 +233,8 @@ def _window_rows(min_chars: int, gram: int):
 
 def shared_spans(documents: DataFrame, min_chars: int = 100, gram: int = GRAM, hot: int = 20_000) -> DataFrame:
     """(doc_id, span_start, span_end): the maximal runs of shared characters of each record; span_end is exclusive."""
+    if not gram <= min_chars < 2**15:
+        raise ValueError("min_chars must be at least gram and below 32768")
     spark = documents.sparkSession
     docs = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= min_chars)
     seen = docs.mapInArrow(_nodes(min_chars, gram), "h long, doc_id long, near long").groupBy("h")
@@ -269,5 +271,3 @@ def share_of_records(documents: DataFrame, spans: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
     return docs.join(sums, "doc_id", "left").select("doc_id", "n_chars", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_spans", "shared_chars")])
 
-
-__all__ = ["discard", "shared_spans", "share_of_records"]

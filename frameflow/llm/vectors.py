@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors per kind on which the top hyperplanes are fitted, at most about this many; every row is indexed.
+#: Vectors of all kinds on which the top hyperplanes are fitted, at most about this many; every row is indexed.
 FIT_ROWS = 16_384
 #: Sample vectors that a fitted cell keeps at least.
 FIT_LEAF = 48
@@ -178,7 +178,7 @@ def grow(sample: np.ndarray, rng: np.random.Generator) -> Tree:
 
 
 def fit_forest(vectors: DataFrame, rows: int, trees: int, seed: int = 7) -> Forest:
-    """Fit on every row whose hashed id falls into a fraction of about FIT_ROWS of ``rows``."""
+    """Fit on every row whose hashed id falls into a fraction of about FIT_ROWS of ``rows``; only the fit is sampled."""
     step = max(1, rows // FIT_ROWS)
     sample = vectors.filter(F.pmod(F.xxhash64("kind", "id"), F.lit(step)) == 0).select("kind", "vec")
     table = sample.toArrow()
