@@ -24,6 +24,8 @@ from frameflow.llm.vectors import blocks, fit_forest, packed
 from frameflow.session import discard, materialize, partitions_for, release
 
 SCHEMA = "kind string, id long, other long, cosine double"
+#: Queries whose products are held at a time.
+SLICE = 512
 
 
 def best_of_rows(s: np.ndarray, row: np.ndarray, col: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,19 +61,18 @@ def _tree(block: int, k: int, floor: float, query_step: int):
             if before is not None and before[0] == kind:
                 pairs += [(ids, u, before[1], before[2], False), (before[1], before[2], ids, u, False)]
             for qids, q, oids, o, same in pairs:
-                take = np.flatnonzero(qids % query_step == 0) if query_step > 1 else np.arange(len(qids))
-                if not len(take):
-                    continue
-                s = q[take] @ o.T
-                if same:
-                    s[np.arange(len(take)), take] = -2
-                row, col = cells(s)
-                row, col, _ = best_of_rows(s, row, col, oids, k)
-                if len(row):
-                    exact = np.einsum("ij,ij->i", q[take[row]].astype(np.float64), o[col].astype(np.float64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(row)), pa.array(qids[take[row]]), pa.array(oids[col]), pa.array(exact)], names=["kind", "id", "other", "cosine"]
-                    )
+                queries = np.flatnonzero(qids % query_step == 0) if query_step > 1 else np.arange(len(qids))
+                for at in range(0, len(queries), SLICE):
+                    take = queries[at : at + SLICE]
+                    s = q[take] @ o.T
+                    if same:
+                        s[np.arange(len(take)), take] = -2
+                    row, col, _ = best_of_rows(s, *cells(s), oids, k)
+                    if len(row):
+                        exact = np.einsum("ij,ij->i", q[take[row]].astype(np.float64), o[col].astype(np.float64))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([kind] * len(row)), pa.array(qids[take[row]]), pa.array(oids[col]), pa.array(exact)], names=["kind", "id", "other", "cosine"]
+                        )
             before = (kind, ids, u)
 
     return run
