@@ -136,7 +136,7 @@ def metadata_inherit(spark, d):
 
 # ---- windows -------------------------------------------------------------------------------------------------------
 
-_LINES = "select distinct l_orderkey as stream, l_linenumber as n from lineitem"
+_LINES = "select distinct l_orderkey as stream, l_linenumber::bigint as n from lineitem"
 _EVENTS = f"select distinct {S} as stream_id, coalesce(request_id, -1) as request_id, sequence_nr as n from frames where stream_id is not null and sequence_nr is not null"
 
 

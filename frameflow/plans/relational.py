@@ -16,16 +16,16 @@ where o_orderdate >= timestamp '1994-01-01 00:00:00' and o_orderdate < timestamp
     "sql_outer_join": """select c_custkey, count(o_orderkey) as n_orders, round(coalesce(sum(o_totalprice), 0), 2) as total from customer left join orders on c_custkey = o_custkey group by c_custkey""",
     "sql_semi_anti": """select 'with' as kind, count(*) as n from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 100000)
 union all select 'without' as kind, count(*) as n from customer where not exists (select 1 from orders where o_custkey = c_custkey)""",
-    "sql_rollup": """select l_returnflag, l_linestatus, grouping(l_returnflag) + grouping(l_linestatus) as level, count(*) as n, round(sum(l_quantity), 2) as qty from lineitem group by rollup (l_returnflag, l_linestatus)""",
+    "sql_rollup": """select l_returnflag, l_linestatus, cast(grouping(l_returnflag) + grouping(l_linestatus) as bigint) as level, count(*) as n, round(sum(l_quantity), 2) as qty from lineitem group by rollup (l_returnflag, l_linestatus)""",
     "sql_cube": """select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)""",
     "sql_grouping_sets": """select event_type, user_id, count(*) as n, round(max(value), 6) as top from events group by grouping sets ((event_type), (user_id), ())""",
-    "sql_rank": """select c_nationkey, c_custkey, r from (select c_nationkey, c_custkey, dense_rank() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer) where r <= 3""",
-    "sql_frame_window": """select event_id, round(sum(value) over (partition by user_id order by event_id rows between 2 preceding and current row), 4) as moving, ntile(4) over (partition by user_id order by event_id) as quarter from events""",
+    "sql_rank": """select c_nationkey, c_custkey, r from (select c_nationkey, c_custkey, cast(dense_rank() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as bigint) as r from customer) where r <= 3""",
+    "sql_frame_window": """select event_id, round(sum(value) over (partition by user_id order by event_id rows between 2 preceding and current row), 4) as moving, cast(ntile(4) over (partition by user_id order by event_id) as bigint) as quarter from events""",
     "sql_top_k": """select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20""",
     "sql_set_ops": """select p_brand as v from part where p_size > 25 intersect select p_brand from part where p_size <= 25 except select p_brand from part where p_retailprice < 0""",
     "sql_distinct": """select distinct o_orderstatus, o_orderpriority from orders""",
-    "sql_dates": """select year(o_orderdate) as y, month(o_orderdate) as m, count(*) as n, round(avg(o_totalprice), 2) as mean from orders group by 1, 2""",
-    "sql_having_case": """select s_nationkey, sum(case when s_acctbal > 0 then 1 else 0 end) as positive, count(*) as n from supplier group by s_nationkey having count(*) > 1""",
+    "sql_dates": """select cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m, count(*) as n, round(avg(o_totalprice), 2) as mean from orders group by 1, 2""",
+    "sql_having_case": """select s_nationkey, cast(sum(case when s_acctbal > 0 then 1 else 0 end) as bigint) as positive, count(*) as n from supplier group by s_nationkey having count(*) > 1""",
     "sql_session_gaps": """select user_id, count(*) as n_sessions from (select user_id, case when unix_seconds_gap > 1800 or unix_seconds_gap is null then 1 else 0 end as s
 from (select user_id, GAP as unix_seconds_gap from events)) where s = 1 group by user_id""",
     "sql_as_of": """select e.event_id, max(p.event_id) as before_id from (select * from events where event_type = 'error') e join events p on p.user_id = e.user_id and p.event_id < e.event_id and p.event_type <> 'error' group by e.event_id""",
