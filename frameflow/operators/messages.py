@@ -13,6 +13,7 @@ beat the indexed one, form the batch's own run; every ``merge_every`` runs are m
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameflow.schema import normal_stream
-from frameflow.session import materialize, partitions_for, release
+from frameflow.session import materialize, partitions_for, release, shared_dir
 
 LAST = 2**63 - 1
 RUN_SCHEMA = "delivery_id long, prefix int, n long, h1 binary, h2 binary, at binary, did binary"
+#: Tasks over which the prefixes are spread at most.
+BUCKETS = 4096
 
 
 def message_key(stream: str = "stream_id", seq: str = "sequence_nr", request: str = "request_id") -> list[Column]:
@@ -151,7 +154,7 @@ def _ingest(compact: bool):
         return pa.table(
             {
                 "delivery_id": pa.array([*dup.tolist(), *[None] * k], pa.int64()),
-                "prefix": pa.array([None] * n + [prefix] * k, pa.int32()),
+                "prefix": pa.array([prefix] * (n + k), pa.int32()),
                 "n": pa.array([None] * n + [len(run[0])] * k, pa.int64()),
                 **{c: pa.array([None] * n + [x.astype(np.int64).tobytes()] * k, pa.binary()) for c, x in zip(("h1", "h2", "at", "did"), run, strict=True)},
             }
@@ -170,12 +173,16 @@ def merge_runs(runs: list[list[np.ndarray]]) -> list[np.ndarray]:
 class MessageIndex:
     """The persisted index; ``ingest`` takes one batch after another, in any order of arrival.
 
-    ids_per_prefix bounds what one task holds; a prefix groups about that many identifiers of all runs.
+    A run is a table below the shared folder, bucketed by prefix, so that a batch is exchanged once and the index not
+    at all: the task of a bucket reads its part of every run where it lies. ids_per_prefix of the caller bounds what a
+    task holds; a prefix groups about that many identifiers of all runs.
     """
 
     def __init__(self, spark: SparkSession, prefixes: int, merge_every: int = 3):
         self.spark, self.prefixes, self.merge_every = spark, prefixes, merge_every
+        self.buckets = min(prefixes, BUCKETS)
         self.runs: list[DataFrame] = []
+        self.names: list[str] = []
 
     def prefix(self) -> Column:
         """The leading bits of the identifier, as one of ``prefixes`` equal ranges."""
@@ -183,7 +190,7 @@ class MessageIndex:
 
     def ingest(self, winners: DataFrame) -> DataFrame:
         """delivery_id of every delivery that this batch shows not to be the kept copy; the batch enters the index."""
-        batch = winners.select(self.prefix().alias("prefix"), "h1", "h2", "at", "did")
+        batch = winners.select(self.prefix().alias("prefix"), "h1", "h2", "at", "did").repartition(self.buckets, "prefix")
         compact = len(self.runs) + 1 > self.merge_every
         if self.runs:
             known = self.runs[0]
@@ -192,11 +199,21 @@ class MessageIndex:
         else:
             known = self.spark.createDataFrame([], "prefix int, h1 binary, h2 binary, at binary, did binary")
         known = known.select("prefix", "h1", "h2", "at", "did")
-        out = materialize(batch.groupBy("prefix").cogroup(known.groupBy("prefix")).applyInArrow(_ingest(compact), RUN_SCHEMA), "run")
-        run = out.filter("prefix is not null").drop("delivery_id")
+        out = batch.groupBy("prefix").cogroup(known.groupBy("prefix")).applyInArrow(_ingest(compact), RUN_SCHEMA)
+        name = f"frameflow_run_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{name}"
+        out.write.bucketBy(self.buckets, "prefix").option("path", path).saveAsTable(name)
+        self.names.append(name)
+        run = self.spark.table(name).filter("n is not null")
         self.runs = [run] if compact else [*self.runs, run]
         release(self.spark)
-        return out.filter("prefix is null").select("delivery_id")
+        return self.spark.read.schema(RUN_SCHEMA).parquet(path).filter("n is null").select("delivery_id")
+
+    def close(self) -> None:
+        """Forget the names of the runs; their files stay until the session's folder is deleted."""
+        for name in self.names:
+            self.spark.sql(f"drop table if exists {name}")
+        self.names = []
 
 
 def duplicate_deliveries(frames: DataFrame, rounds: int = 3, ids_per_prefix: int = 250_000) -> DataFrame:
@@ -218,6 +235,7 @@ def duplicate_deliveries(frames: DataFrame, rounds: int = 3, ids_per_prefix: int
     found = local.filter("dup").select(F.col("did").alias("delivery_id"))
     for r in range(rounds):
         found = found.unionByName(index.ingest(local.filter(~F.col("dup") & (F.col("round") == r))))
+    index.close()
     return found.select(F.when(F.col("delivery_id") != LAST, F.col("delivery_id")).alias("delivery_id"))
 
 
