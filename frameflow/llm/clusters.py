@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameflow.llm.vectors import Forest, blocks, fit_forest, pack, packed, unit, unpack
-from frameflow.session import discard, materialize, partitions_for, release
+from frameflow.llm.vectors import Forest, blocks, fit_forest, pack, packed, sorted_parts, unit, unpack
+from frameflow.session import discard, materialize, release
 
 LEVEL = "kind string, id long, code long, vec binary, weight double"
 #: Floats of means that one task holds at a time; more means are taken in several passes over the table.
@@ -187,7 +187,7 @@ def clusters(
     n = rows if rows is not None else vectors.count()
     forest = fit_forest(vectors, n, trees)
     table = materialize(packed(vectors, forest), "vectors")
-    parts = partitions_for(spark, n, 64 * 1024)
+    parts = sorted_parts(spark, n, block)
     link = 0.95 * min_cosine**2  # two vectors at min_cosine from one mean have about the square of it between them
     follow = 0.85 * min_cosine  # the nearest of many is nearer; a lower bound would lead peaks into other clusters
     peaks = None

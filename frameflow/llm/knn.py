@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameflow.llm.vectors import blocks, fit_forest, packed
-from frameflow.session import discard, materialize, partitions_for, release
+from frameflow.llm.vectors import blocks, fit_forest, packed, sorted_parts
+from frameflow.session import discard, materialize, release
 
 SCHEMA = "kind string, id long, other long, cosine double"
 #: Queries whose products are held at a time.
@@ -90,7 +90,7 @@ def similar(
     n = rows if rows is not None else vectors.count()
     forest = fit_forest(vectors, n, trees)
     table = materialize(packed(vectors, forest), "vectors")
-    parts = partitions_for(spark, n, 64 * 1024)
+    parts = sorted_parts(spark, n, block)
     found = None
     steps = [table]
     for t in range(trees):

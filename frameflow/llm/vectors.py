@@ -14,9 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameflow.session import partitions_for
+
 #: Vectors of all kinds on which the top hyperplanes are fitted, at most about this many; every row is indexed.
 FIT_ROWS = 16_384
 #: Sample vectors that a fitted cell keeps at least.
@@ -218,6 +220,12 @@ def packed(vectors: DataFrame, forest: Forest) -> DataFrame:
     return vectors.select("kind", "id", "vec").mapInArrow(run, f"kind string, id long, {', '.join(n + ' long' for n in names)}, vec binary")
 
 
+def sorted_parts(spark: SparkSession, rows: int, block: int) -> int:
+    """Partitions of a sorted array: enough that one holds a bounded number of rows, but each of several blocks, since
+    the rows beside a partition's edge don't see each other."""
+    return max(1, min(partitions_for(spark, rows, 64 * 1024), rows // (4 * block)))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], size: int, columns: tuple[str, ...] = ()) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """Cut a sorted stream of packed rows into runs of one kind and about ``size`` rows: (kind, ids, unit vectors,
     columns). A run is at least half of ``size`` long unless its kind ends, or has fewer rows here."""

@@ -95,7 +95,7 @@ def test_dirty_vectors(spark):
     first = sorted((r["rank"], r["other"]) for r in got if r["id"] == 7)
     assert len(first) == 5 and all(abs(r["cosine"] - 1) < 1e-5 for r in got if r["id"] == 7)
     feature = "feature_id long, name string, dense struct<dims:array<int>,data:array<float>>"
-    rows = [(1, "d", ([2, 2], [1.0, 2, 3, 4])), (2, "d", ([2, 2], [1.0, 2, 3, 4])), (3, "d", ([4], [1.0, 2, 3, 4])), (4, "d", (None, [1.0, 2, 3, 4])), (5, "d", None), (6, "d", ([2, 2], [1.0]))]
+    rows = [(1, "d", ([2, 2], [1.0, 2.0, 3.0, 4.0])), (2, "d", ([2, 2], [1.0, 2.0, 3.0, 4.0])), (3, "d", ([4], [1.0, 2.0, 3.0, 4.0])), (4, "d", (None, [1.0, 2.0, 3.0, 4.0])), (5, "d", None), (6, "d", ([2, 2], [1.0]))]
     pairs = close_pairs(similar(dense_vectors(spark.createDataFrame(rows, feature), kinds), min_cosine=0.9)).collect()
     assert [(r["id_a"], r["id_b"]) for r in pairs] == [(1, 2)]
 
