@@ -6,6 +6,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,15 +20,19 @@ KEYPOINTS = "array<struct<x:int,y:int,scale:float,response:float,values:array<fl
 BOXES = "array<struct<x:int,y:int,width:int,height:int>>"
 
 
-def blur(a: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian blur with edges repeated."""
+@lru_cache(64)
+def _blur_matrix(n: int, sigma: float) -> np.ndarray:
+    """Weights of n samples in each blurred one; samples beyond an edge are the edge's."""
     r = max(1, int(3 * sigma + 0.5))
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    k /= k.sum()
-    for axis in (0, 1):
-        p = np.pad(a, [(r, r) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
-        a = np.apply_along_axis(np.convolve, axis, p, k, "valid")
-    return a
+    out = np.zeros((n, n))
+    np.add.at(out, (np.repeat(np.arange(n), 2 * r + 1), np.clip(np.arange(n)[:, None] + np.arange(-r, r + 1), 0, n - 1).ravel()), np.tile(k / k.sum(), n))
+    return out
+
+
+def blur(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur with edges repeated."""
+    return _blur_matrix(a.shape[0], sigma) @ a @ _blur_matrix(a.shape[1], sigma).T
 
 
 def find_keypoints(a: np.ndarray, threshold: float = 2.0, octaves: int = 2, cells: int = 4, bins: int = 4) -> list[tuple]:
@@ -117,6 +122,13 @@ def parse_cascade(xml: str) -> Cascade:
     return out
 
 
+@lru_cache(256)
+def _places(height: int, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of all window corners."""
+    ys, xs = (g.ravel() for g in np.mgrid[0:height:step, 0:width:step])
+    return ys, xs
+
+
 def detect(a: np.ndarray, cascade: Cascade, scale: float = 1.1, neighbours: int = 3, min_size: tuple[int, int] = (0, 0), max_size: tuple[int, int] = (1000, 1000)) -> list[tuple[int, int, int, int]]:
     """Boxes that pass every stage at some size, grouped; groups of fewer than ``neighbours`` hits are dropped."""
     h, w = a.shape
@@ -133,8 +145,7 @@ def detect(a: np.ndarray, cascade: Cascade, scale: float = 1.1, neighbours: int
         if ww > min(w, max_size[0]) or wh > min(h, max_size[1]):
             break
         if ww >= min_size[0] and wh >= min_size[1]:
-            step = max(1, int(f))
-            ys, xs = (g.ravel() for g in np.mgrid[0 : h - wh + 1 : step, 0 : w - ww + 1 : step])
+            ys, xs = _places(h - wh + 1, w - ww + 1, max(1, int(f)))
             n = ww * wh
             mean = area(sums, ys, xs, ww, wh) / n
             dev = np.sqrt(np.maximum(area(squares, ys, xs, ww, wh) / n - mean**2, 1.0))
