@@ -52,9 +52,10 @@ def positions(df: DataFrame, keys: Sequence[str], seq: str, step: int, bucket: i
     rows = df.select(*keys, F.col(seq).cast("long").alias("seq")).filter("seq is not null").distinct()
     rows = rows.withColumn("_b", F.floor(F.col("seq") / bucket))
     w = Window.partitionBy(*keys, "_b").orderBy("seq")
-    rows = rows.withColumn("_break", F.when(F.col("seq") - F.lag("seq").over(w) != step, 1).otherwise(0))
-    rows = rows.withColumn("_run", F.sum("_break").over(w))
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_b", "_run").orderBy("seq")) - 1)
+    breaks = F.coalesce(F.col("seq") - F.lag("seq").over(w) != step, F.lit(False))
+    rows = rows.withColumns({"_break": breaks, "_rn": F.row_number().over(w) - 1})
+    start = F.coalesce(F.max(F.when(F.col("_break"), F.col("_rn"))).over(w), F.lit(0))  # one sort serves all
+    rows = rows.withColumns({"_run": start, "_at": F.col("_rn") - start}).drop("_break", "_rn")
     tail = rows.groupBy(*keys, "_b").agg(F.min("seq").alias("_first"), F.max(F.struct("seq", "_run", "_at")).alias("_last"))
     outer = Window.partitionBy(*keys).orderBy("_b") if keys else Window.partitionBy(F.lit(0)).orderBy("_b")
     before = F.lag("_last").over(outer)
