@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,11 @@ def group_frames(
     return g if keep_rest else g.filter(F.col("n_frames") == size)
 
 
+def on_groups(groups: DataFrame, operation: Callable[[Column], Column], name: str = "result", frames: str = "frames") -> DataFrame:
+    """An operation on the frames inside each group, as a function of their array: no state and no exchange."""
+    return groups.withColumn(name, operation(F.col(frames)))
+
+
 def frame_pairs(df: DataFrame, keys: Sequence[str], seq: str, payload: Sequence[str], step: int | None = None) -> DataFrame:
     """(keys, first_seq, second_seq, duration, first, second): each frame with the next one of its stream.
 

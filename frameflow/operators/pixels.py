@@ -116,8 +116,8 @@ def crop(image: Column, width: Column, box: Column) -> Column:
     return run(image, width, box)
 
 
-def histogram(image: Column, bins: int = 255, low: float = 0, high: float = 256) -> Column:
-    """Counts of samples per equal bin of [low, high); null without an image."""
+def histogram(image: Column, bins: int = 255, low: float = 0, high: float = 256, channel: int = 0, channels: int = 1) -> Column:
+    """Counts of one channel's samples per equal bin of [low, high); null without an image."""
 
     @F.pandas_udf("array<int>")
     def run(im: pd.Series) -> pd.Series:
@@ -128,7 +128,7 @@ def histogram(image: Column, bins: int = 255, low: float = 0, high: float = 256)
             if i is None or not len(i):
                 out.append(None)
                 continue
-            n = np.bincount(np.frombuffer(bytes(i), np.uint8), minlength=256)
+            n = np.bincount(np.frombuffer(bytes(i), np.uint8)[channel::channels], minlength=256)
             out.append(np.bincount(which[inside], n[inside], minlength=bins)[:bins].astype(np.int32))
         return pd.Series(out, dtype=object)
 
@@ -145,6 +145,23 @@ def equalize_array(a: np.ndarray) -> np.ndarray:
     return np.clip(level, 0, 255).astype(np.uint8)[a]
 
 
+def equalize_value(bgr: np.ndarray) -> np.ndarray:
+    """A color image with its largest channel (the value of HSV) equalized; hue and saturation stay."""
+    value = bgr.max(axis=2)
+    gain = np.where(value > 0, equalize_array(value) / np.maximum(value, 1), 0.0)
+    return np.clip(np.rint(bgr * gain[..., None]), 0, 255).astype(np.uint8)
+
+
+def equalize_color(image: Column, width: Column) -> Column:
+    """Equalization of interleaved BGR bytes by their value."""
+
+    @F.pandas_udf("binary")
+    def run(im: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([None if (a := to_array(i, x, 3)) is None else equalize_value(a).tobytes() for i, x in zip(im, w, strict=True)], dtype=object)
+
+    return run(image, width)
+
+
 def equalize(image: Column, width: Column) -> Column:
     """Histogram equalization."""
 

@@ -226,8 +226,30 @@ class Background:
         return mask
 
 
-def foreground(df: DataFrame, width: int, history: int = 50, chunk: int = 1024, warm_up: int = 150, stream: str = "stream_id", seq: str = "sequence_nr", image: str = "image") -> DataFrame:
-    """(stream_id, sequence_nr, foreground, pixels): changed pixels of each frame against its stream's background.
+def blobs(mask: np.ndarray, least: int = 5) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, width, height) of the mask's connected parts (8 neighbours) that are at least so wide and high."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
+        p = np.pad(label, 1)
+        around = np.max([p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+        new = np.where(mask, around, 0)
+        if (new == label).all():
+            break
+        label = new
+    out = []
+    for k in np.unique(label[label > 0]):
+        ys, xs = np.nonzero(label == k)
+        box = (int(xs.min()), int(ys.min()), int(xs.max() - xs.min() + 1), int(ys.max() - ys.min() + 1))
+        if min(box[2:]) >= least:
+            out.append(box)
+    return sorted(out)
+
+
+def foreground(
+    df: DataFrame, width: int, history: int = 50, chunk: int = 1024, warm_up: int = 150, least: int = 5, stream: str = "stream_id", seq: str = "sequence_nr", image: str = "image"
+) -> DataFrame:
+    """(stream_id, sequence_nr, foreground, pixels, boxes): changed pixels of each frame against its stream's
+    background, and the boxes of connected ones at least ``least`` wide and high.
 
     A model lives in one stream. A long stream is cut into chunks of ``chunk`` numbers, each of which first learns from
     the ``warm_up`` numbers before it, three times the history, after which a frame weighs under a twentieth; so no
@@ -250,11 +272,14 @@ def foreground(df: DataFrame, width: int, history: int = 50, chunk: int = 1024,
                     key, shape, model = (s, c), a.shape, Background(a.shape, history)
                 mask = model.apply(a)
                 if n // chunk == c:
-                    out.append((s, n, int(mask.sum()), mask.size))
+                    boxes = [dict(zip(("x", "y", "width", "height"), b, strict=True)) for b in (blobs(mask, least) if mask.any() else [])]
+                    out.append((s, n, int(mask.sum()), mask.size, boxes))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["stream_id", "sequence_nr", "foreground", "pixels"])
+                *plain, boxes = zip(*out, strict=True)
+                kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("x", "y", "width", "height")]))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, plain), pa.array(boxes, kind)], names=["stream_id", "sequence_nr", "foreground", "pixels", "boxes"])
 
-    return spread.mapInArrow(run, "stream_id string, sequence_nr long, foreground long, pixels long")
+    return spread.mapInArrow(run, f"stream_id string, sequence_nr long, foreground long, pixels long, boxes {BOXES}")
 
 
 # ---- flow ----------------------------------------------------------------------------------------------------------

@@ -219,6 +219,18 @@ def group_frames(spark, d):
     return g.select("stream_id", "group_nr", "first_seq", "n_frames", F.array_join(F.transform("frames", lambda x: x["delivery_id"].cast("string")), ",").alias("deliveries"))
 
 
+@query(f"""with r as (select {S} as stream_id, sequence_nr, coalesce(octet_length(image), 0) as b, row_number() over (partition by {S} order by sequence_nr, delivery_id) - 1 as rn
+  from frames where stream_id is not null and sequence_nr is not null)
+select stream_id, rn // 5 as group_nr, sum(b)::bigint as bytes, max(sequence_nr) - min(sequence_nr) as span from r group by stream_id, rn // 5 having count(*) = 5""")
+def group_operation(spark, d):
+    f = frames(spark, d).filter("stream_id is not null and sequence_nr is not null")
+    f = f.select("stream_id", "sequence_nr", "delivery_id", F.coalesce(F.octet_length("image"), F.lit(0)).alias("b"))
+    g = media.group_frames(f, ["stream_id"], "sequence_nr", 5, ["sequence_nr", "b"], ties=["delivery_id"])
+    g = media.on_groups(g, lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["b"]), "bytes")
+    g = media.on_groups(g, lambda a: F.element_at(a, -1)["sequence_nr"] - F.element_at(a, 1)["sequence_nr"], "span")
+    return g.select("stream_id", "group_nr", "bytes", "span")
+
+
 @query(f"""select {S} as stream_id, max(sequence_nr) as sequence_nr, max({{'s': sequence_nr, 'd': delivery_id}}).d as delivery_id
 from frames where stream_id is not null and sequence_nr is not null and image is not null group by 1""")
 def latest_per_stream(spark, d):

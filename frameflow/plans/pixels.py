@@ -65,7 +65,8 @@ def cascade(spark, d):
 
 
 def background(spark, d):
-    return vision.foreground(kept_messages(table(spark, d, "frames")), W)
+    f = vision.foreground(kept_messages(table(spark, d, "frames")), W)
+    return f.select("stream_id", "sequence_nr", "foreground", "pixels", F.size("boxes").alias("n_blobs"))
 
 
 def optical_flow(spark, d):

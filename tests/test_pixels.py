@@ -51,6 +51,31 @@ def test_equalize():
     assert pixels.equalize_array(flat).tolist() == flat.tolist()
 
 
+def test_color():
+    a = np.zeros((4, 4, 3), np.uint8)
+    a[..., 2] = np.repeat([10, 20, 30, 40], 4).reshape(4, 4)
+    a[..., 0] = a[..., 2] // 2
+    e = pixels.equalize_value(a)
+    assert e[:, 0, 2].tolist() == [0, 85, 170, 255] and abs(int(e[3, 0, 0]) - 128) <= 1
+    assert (pixels.equalize_value(np.zeros((2, 2, 3), np.uint8)) == 0).all()
+
+
+def test_channels(spark):
+    bgr = bytes([0, 100, 200] * 4)
+    h = [run(spark, bgr, 2, lambda i, w, c=c: pixels.histogram(i, 2, channel=c, channels=3)) for c in range(3)]
+    assert h == [[4, 0], [4, 0], [0, 4]]
+
+
+def test_blobs():
+    m = np.zeros((12, 14), bool)
+    m[1:7, 2:8] = True
+    m[7:12, 8:13] = True  # touches by a corner
+    m[0, 13] = True
+    assert vision.blobs(m) == [(2, 1, 11, 11)]
+    assert vision.blobs(m, 1) == [(2, 1, 11, 11), (13, 0, 1, 1)]
+    assert vision.blobs(np.zeros((3, 3), bool)) == []
+
+
 def test_flow_finds_a_shift():
     y, x = np.mgrid[0:24, 0:24]
     scene = lambda dx: 100 + 60 * np.sin((x - dx) / 3) + 40 * np.cos(y / 4)
