@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameflow.operators.pixels import half, to_array
+from frameflow.operators.ranking import ranked
 
 KEYPOINTS = "array<struct<x:int,y:int,scale:float,response:float,values:array<float>>>"
 BOXES = "array<struct<x:int,y:int,width:int,height:int>>"
@@ -251,27 +252,27 @@ def foreground(
     """(stream_id, sequence_nr, foreground, pixels, boxes): changed pixels of each frame against its stream's
     background, and the boxes of connected ones at least ``least`` wide and high.
 
-    A model lives in one stream. A long stream is cut into chunks of ``chunk`` numbers, each of which first learns from
-    the ``warm_up`` numbers before it, three times the history, after which a frame weighs under a twentieth; so no
-    task holds a whole stream, and results don't depend on the cluster. Frames without a whole row of pixels are left
-    out; a frame of another size than the one before begins a new model; repeated numbers are learnt in any order.
+    A model lives in one stream. A long stream is cut into chunks of ``chunk`` frames in order of their numbers, gaps or
+    not, each of which first learns from the ``warm_up`` frames before it, three times the history, after which a frame
+    weighs under a twentieth; so no task holds a whole stream, and results don't depend on the cluster. Frames without a
+    whole row of pixels are left out; a frame of another size than the one before begins a new model; frames of one
+    number are learnt in the order of their images.
     """
     rows = df.filter(F.col(stream).isNotNull() & F.col(seq).isNotNull() & (F.length(image) >= width)).select(F.col(stream).alias("s"), F.col(seq).cast("long").alias("n"), F.col(image).alias("image"))
-    own = F.floor(F.col("n") / chunk)
-    after = F.when(F.pmod("n", F.lit(chunk)) >= chunk - warm_up, own + 1)
-    spread = rows.withColumn("c", F.explode(F.array_compact(F.array(own, after))))
-    spread = spread.repartition("s", "c").sortWithinPartitions("s", "c", "n", "image")
+    rows = ranked(rows, ["s"], "n", ["image"], "r")
+    spread = rows.withColumn("c", F.explode(F.sequence(F.floor(F.col("r") / chunk), F.floor((F.col("r") + warm_up) / chunk))))
+    spread = spread.repartition("s", "c").sortWithinPartitions("s", "c", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, model, shape = None, None, None
         for b in batches:
             out = []
-            for s, n, c, image_ in zip(*(b.column(x).to_pylist() for x in ("s", "n", "c", "image")), strict=True):
+            for s, n, r, c, image_ in zip(*(b.column(x).to_pylist() for x in ("s", "n", "r", "c", "image")), strict=True):
                 a = to_array(image_, width)
                 if (s, c) != key or a.shape != shape:
                     key, shape, model = (s, c), a.shape, Background(a.shape, history)
                 mask = model.apply(a)
-                if n // chunk == c:
+                if r // chunk == c:
                     boxes = [dict(zip(("x", "y", "width", "height"), b, strict=True)) for b in (blobs(mask, least) if mask.any() else [])]
                     out.append((s, n, int(mask.sum()), mask.size, boxes))
             if out:

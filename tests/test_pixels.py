@@ -123,3 +123,19 @@ def test_background(spark):
     df = spark.createDataFrame(rows, "stream_id string, sequence_nr long, image binary")
     got = {r["sequence_nr"]: r["foreground"] for r in vision.foreground(df, 4, 20, chunk=32, warm_up=20).collect()}
     assert set(got) == set(range(100)) and got[90] == 1 and got[70] == 0
+
+
+def test_background_learns_from_frames_not_numbers(spark):
+    rng = np.random.default_rng(4)
+    images = [rng.choice([40, 120, 200], (4, 4), p=[0.6, 0.3, 0.1]).astype(np.uint8) for _ in range(300)]
+    df = spark.createDataFrame([("s", 13 * n, a.tobytes()) for n, a in enumerate(images)], "stream_id string, sequence_nr long, image binary")
+    want = []
+    for start in range(0, 300, 64):  # each chunk of 64 frames after the 60 before it
+        b = vision.Background((4, 4), 20)
+        for a in images[max(0, start - 60) : start]:
+            b.apply(a)
+        want += [int(b.apply(a).sum()) for a in images[start : start + 64]]
+    got = {r["sequence_nr"] // 13: r["foreground"] for r in vision.foreground(df, 4, 20, chunk=64, warm_up=60).collect()}
+    assert [got[n] for n in range(300)] == want
+    whole = {r["sequence_nr"] // 13: r["foreground"] for r in vision.foreground(df, 4, 20, chunk=10**6, warm_up=60).collect()}
+    assert sum(got[n] != whole[n] for n in range(64, 300)) < 30
