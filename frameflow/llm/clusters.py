@@ -125,33 +125,54 @@ def _add(group: pa.Table) -> pa.Table:
     return pa.table({"kind": [group.column("kind")[0].as_py()], "label": [group.column("label")[0].as_py()], "n": [float(sum(group.column("n").to_pylist()))], "total": pa.array([total.tobytes()], pa.binary())})
 
 
-def _merged(kind_rows: list[tuple[int, float, np.ndarray]], close: float) -> tuple[np.ndarray, np.ndarray]:
+def _merged(kind_rows: list[tuple[int, float, np.ndarray]], close: float, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Labels and unit means; a mean within ``close`` of a heavier one joins it."""
     kind_rows.sort(key=lambda r: (-r[1], r[0]))
     m = unit(np.array([r[2] for r in kind_rows], np.float32))
-    heads: list[int] = []
-    total: dict[int, np.ndarray] = {}
-    for i in range(len(m)):
-        s = m[heads] @ m[i] if heads else np.empty(0)
-        if len(s) and s.max() >= close:
-            h = heads[int(s.argmax())]
-        else:
-            h = i
-            heads.append(i)
-        total[h] = total.get(h, 0) + m[i].astype(np.float64) * kind_rows[i][1]
-    return np.array([kind_rows[h][0] for h in heads], np.int64), unit(np.array([total[h] for h in heads], np.float32))
+    heads, at, n = np.empty_like(m), np.empty(len(m), np.int64), 0
+    total = np.zeros(m.shape)
+    for lo in range(0, len(m), step):
+        part, old = m[lo : lo + step], n
+        s = part @ heads[:old].T
+        best = s.argmax(axis=1) if old else np.zeros(len(part), np.int64)
+        cos = s[np.arange(len(part)), best] if old else np.full(len(part), -2.0)
+        for i, row in enumerate(part):
+            h, c = best[i], cos[i]
+            if n > old:
+                own = heads[old:n] @ row
+                if own.max() > c:
+                    h, c = old + own.argmax(), own.max()
+            if c < close:
+                h, n = n, n + 1
+                heads[h], at[h] = row, lo + i
+            total[h] += row.astype(np.float64) * kind_rows[lo + i][1]
+    return np.array([kind_rows[i][0] for i in at[:n]], np.int64), unit(total[:n].astype(np.float32))
 
 
 def _chunks(rows: DataFrame, close: float) -> list[dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """The means in pieces of at most MEANS_FLOATS floats; means are merged within a piece. rows: kind, label, n, total."""
-    n, size = rows.agg(F.count(F.lit(1)), F.max(F.length("total"))).first()
-    pieces = max(1, -(-n * ((size or 8) // 8) // MEANS_FLOATS))
-    out = []
-    for p in range(pieces):
-        of: dict[str, list] = {}
-        for r in (rows.filter(F.pmod(F.xxhash64("label"), F.lit(pieces)) == p) if pieces > 1 else rows).toLocalIterator():
-            of.setdefault(r["kind"], []).append((r["label"], r["n"], np.frombuffer(bytes(r["total"]), np.float64)))
-        out.append({k: _merged(v, close) for k, v in of.items()})
+    """The means, merged over all of them, in pieces of at most MEANS_FLOATS floats. rows: kind, label, n, total.
+
+    The driver holds all means, as it does their pieces; a task holds one piece."""
+    of: dict[str, list] = {}
+    for r in rows.toLocalIterator():
+        of.setdefault(r["kind"], []).append((r["label"], r["n"], np.frombuffer(bytes(r["total"]), np.float64).astype(np.float32)))
+    out: list[dict[str, tuple[np.ndarray, np.ndarray]]] = [{}]
+    free = MEANS_FLOATS
+    for kind in sorted(of):
+        labels, m = _merged(of.pop(kind), close)
+        while len(labels):
+            take = free // m.shape[1]
+            if not take and out[-1]:
+                out.append({})
+                free = MEANS_FLOATS
+                continue
+            take = max(1, take)
+            out[-1][kind] = labels[:take], m[:take]
+            free -= min(take, len(labels)) * m.shape[1]
+            labels, m = labels[take:], m[take:]
+            if len(labels):
+                out.append({})
+                free = MEANS_FLOATS
     return out
 
 

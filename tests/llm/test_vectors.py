@@ -154,6 +154,17 @@ def test_means_in_pieces_give_the_same(spark, monkeypatch):
     assert sorted((r["id"], r["cluster"] or -1) for r in C.clusters(df).collect()) == whole
 
 
+def test_means_merge_over_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres, _ = np.linalg.qr(rng.standard_normal((16, 16)))
+    rows = [("v", 100 * k + j, float(20 - j), (centres[k] + 0.02 * rng.standard_normal(16)).tobytes()) for k in range(6) for j in range(9)]
+    means = spark.createDataFrame(rows, "kind string, label long, n double, total binary")
+    monkeypatch.setattr(C, "MEANS_FLOATS", 32)
+    pieces = C._chunks(means, 0.9)
+    assert len(pieces) == 3 and all(m.size <= 32 for p in pieces for _, m in p.values())
+    assert sorted(x for p in pieces for labels, _ in p.values() for x in labels.tolist()) == [100 * k for k in range(6)]
+
+
 def test_density_peaks_follow_denser_neighbours():
     rng = np.random.default_rng(1)
     u = unit(rng.standard_normal((60, 6)).astype(np.float32))
