@@ -8,7 +8,7 @@ join) each vector gets its density, the summed cosine of the neighbours from ``l
 similar denser neighbour; following the pointers leads to the block's peaks, and every peak takes the sum of the unit
 vectors that lead to it. The peaks, as weighted records, pass through the same step again, level by level, until no
 pointer is left: these are the peaks of the whole table. All vectors are then labelled by the nearest peak mean and the
-means are taken anew, until the sets fit their own means.
+means are taken anew, pass by pass, until no set changes (or the sets come back to those of an earlier pass).
 
 Defined results: vectors that are not comparable belong to no cluster and don't stand apart either (they are left
 out); equal vectors share a cluster; ties in density go to the smaller id; an empty table gives no rows.
@@ -27,6 +27,7 @@ from frameflow.llm.vectors import Forest, blocks, fit_forest, pack, packed, sort
 from frameflow.session import discard, materialize, release
 
 LEVEL = "kind string, id long, code long, vec binary, weight double"
+SETS = "kind string, label long, n double, total binary, mark long"
 #: Floats of means that one task holds at a time; more means are taken in several passes over the table.
 MEANS_FLOATS = 16_000_000
 
@@ -74,6 +75,14 @@ def _level(block: int, link: float, follow: float, forest: Forest, next_tree: in
     return run
 
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """Scattered ids; their sum, which wraps around, tells sets apart and doesn't depend on the order."""
+    x = ids.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _label(means: dict[str, tuple[np.ndarray, np.ndarray]], floor: float, sums: bool, carry: bool):
     """Nearest mean of each row: as rows (kind, id, label, cosine), or as sums of unit vectors by label."""
 
@@ -106,15 +115,23 @@ def _label(means: dict[str, tuple[np.ndarray, np.ndarray]], floor: float, sums:
                 o = o[np.argsort(best[o], kind="stable")]
                 if len(o):
                     of, start = np.unique(best[o], return_index=True)
-                    for label, s, n in zip(of.tolist(), np.add.reduceat(u[o].astype(np.float64), start, axis=0), np.diff(np.r_[start, len(o)]).tolist(), strict=True):
-                        h = held.setdefault((kind, label), [0, 0.0])
+                    marks = np.add.reduceat(_mixed(part.column("id").to_numpy(zero_copy_only=False)[o]), start).tolist()
+                    for label, s, n, mark in zip(of.tolist(), np.add.reduceat(u[o].astype(np.float64), start, axis=0), np.diff(np.r_[start, len(o)]).tolist(), marks, strict=True):
+                        h = held.setdefault((kind, label), [0, 0.0, 0])
                         h[0] += n
                         h[1] = h[1] + s
+                        h[2] = (h[2] + mark) % 2**64
         if sums and held:
             keys = list(held)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array([float(held[k][0]) for k in keys]), pa.array([held[k][1].tobytes() for k in keys], pa.binary())],
-                names=["kind", "label", "n", "total"],
+                [
+                    pa.array([k[0] for k in keys]),
+                    pa.array([k[1] for k in keys], pa.int64()),
+                    pa.array([float(held[k][0]) for k in keys]),
+                    pa.array([held[k][1].tobytes() for k in keys], pa.binary()),
+                    pa.array(np.array([held[k][2] for k in keys], np.uint64).view(np.int64)),
+                ],
+                names=["kind", "label", "n", "total", "mark"],
             )
 
     return run
@@ -122,7 +139,9 @@ def _label(means: dict[str, tuple[np.ndarray, np.ndarray]], floor: float, sums:
 
 def _add(group: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(x, np.float64) for x in group.column("total").to_pylist()], axis=0)
-    return pa.table({"kind": [group.column("kind")[0].as_py()], "label": [group.column("label")[0].as_py()], "n": [float(sum(group.column("n").to_pylist()))], "total": pa.array([total.tobytes()], pa.binary())})
+    mark = group.column("mark").to_numpy().sum(keepdims=True)  # wraps around
+    first = {c: [group.column(c)[0].as_py()] for c in ("kind", "label")}
+    return pa.table({**first, "n": [float(sum(group.column("n").to_pylist()))], "total": pa.array([total.tobytes()], pa.binary()), "mark": mark})
 
 
 def _merged(kind_rows: list[tuple[int, float, np.ndarray]], close: float, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +202,27 @@ def _assigned(table: DataFrame, pieces: list, floor: float, sums: bool) -> DataF
         now = materialize(now.mapInArrow(_label(p, floor, False, now is not table), rows), "labelled")
     last = pieces[-1]
     if sums:
-        part = now.mapInArrow(_label(last, floor, True, now is not table), "kind string, label long, n double, total binary")
-        return part.groupBy("kind", "label").applyInArrow(_add, "kind string, label long, n double, total binary")  # one row per partition and label
+        part = now.mapInArrow(_label(last, floor, True, now is not table), SETS)
+        return part.groupBy("kind", "label").applyInArrow(_add, SETS)  # one row per partition and label
     return now.mapInArrow(_label(last, floor, False, now is not table), rows).drop("vec")
 
 
+def _settled(table: DataFrame, means: DataFrame, close: float, min_cosine: float, min_size: int) -> DataFrame:
+    """The sets and their sums after as many passes as it takes until a state comes back: then no set changes any more,
+    or a few vectors go round in a cycle. Sets below ``min_size`` are dropped only then, and the rest settles again."""
+    seen: set[tuple] = set()
+    while True:
+        old, means = means, materialize(_assigned(table, _chunks(means, close), min_cosine, True), "means")
+        discard(old)
+        state = means.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("kind", "label", "n", "mark"))).first()
+        if tuple(state) in seen:
+            big = means.filter(F.col("n") >= min_size)
+            if big.count() == state[0]:
+                return means
+            means = materialize(big, "means")
+        seen.add(tuple(state))
+
+
 def _peak_rows(level: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,9 +264,10 @@ def clusters(
     # A record counts once per tree; a peak that draws under half of the least cluster in each starts none.
     means = materialize(_peak_rows(peaks.filter(F.col("weight") >= trees * min_size / 2)), "means")
     close = (1 + min_cosine) / 2
-    for floor in (0.9 * min_cosine, min_cosine, min_cosine):
-        means = materialize(_assigned(table, _chunks(means, close), floor, True), "means").filter(F.col("n") >= 0.75 * min_size)
-    labelled = materialize(_assigned(table, _chunks(means.filter(F.col("n") >= min_size), close), min_cosine, False), "labels")
+    # The first pass draws from farther away, since the mean of few vectors lies off that of their cluster.
+    means = materialize(_assigned(table, _chunks(means, close), 0.9 * min_cosine, True), "means")
+    means = _settled(table, means, close, min_cosine, min_size)
+    labelled = materialize(_assigned(table, _chunks(means, close), min_cosine, False), "labels")
     sizes = labelled.filter("label >= 0").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster")).filter(F.col("size") >= min_size)
     out = labelled.join(sizes, ["kind", "label"], "left").select("kind", "id", "cluster", "size", F.when(F.col("cluster").isNotNull(), F.col("cosine")).alias("cosine"))
     discard(table)

@@ -165,6 +165,20 @@ def test_means_merge_over_pieces(spark, monkeypatch):
     assert sorted(x for p in pieces for labels, _ in p.values() for x in labels.tolist()) == [100 * k for k in range(6)]
 
 
+def test_sets_fit_their_own_means(spark):
+    # Directions all around: no set is apart from its neighbours, and the means wander for many passes.
+    u = unit(np.random.default_rng(5).standard_normal((300, 4)).astype(np.float32)).astype(np.float64)
+    rows = [(i, "v", v.tolist()) for i, v in enumerate(u)]
+    df = spark.createDataFrame(rows, "id long, kind string, vec array<float>")
+    got = {}
+    for r in C.clusters(df).filter("cluster is not null").collect():
+        got.setdefault(r["cluster"], []).append(r["id"])
+    assert got
+    for ids in got.values():
+        mean = u[ids].mean(axis=0)
+        assert len(ids) >= 12 and (u[ids] @ mean / np.linalg.norm(mean)).min() >= 0.8 - 1e-6
+
+
 def test_density_peaks_follow_denser_neighbours():
     rng = np.random.default_rng(1)
     u = unit(rng.standard_normal((60, 6)).astype(np.float32))
