@@ -10,6 +10,10 @@ vectors that lead to it. The peaks, as weighted records, pass through the same s
 pointer is left: these are the peaks of the whole table. All vectors are then labelled by the nearest peak mean and the
 means are taken anew, pass by pass, until no set changes (or the sets come back to those of an earlier pass).
 
+Only heavy peaks start means at first, lest parts of a cluster compete with it. The vectors that no mean took then go
+through all of it again, in new trees fitted on them and with every peak of two vectors or more, until a round gives no
+further members. Which vectors meet in a block stays a matter of the trees, so this is thorough, not exact.
+
 Defined results: vectors that are not comparable belong to no cluster and don't stand apart either (they are left
 out); equal vectors share a cluster; ties in density go to the smaller id; an empty table gives no rows.
 """
@@ -234,15 +238,13 @@ def _peak_rows(level: DataFrame) -> DataFrame:
     return level.mapInArrow(run, "kind string, label long, n double, total binary")
 
 
-def clusters(
-    vectors: DataFrame, min_cosine: float = 0.8, min_size: int = 12, block: int = 1024, trees: int = 2, least_peak: float = 3, rows: int | None = None
-) -> DataFrame:
-    """(kind, id, cluster, size, cosine) of every comparable vector; cluster, the smallest id of its members, is null
-    for a vector that stands apart. vectors: (kind, id, vec), ids unique in a kind."""
-    spark = vectors.sparkSession
-    n = rows if rows is not None else vectors.count()
-    forest = fit_forest(vectors, n, trees)
-    table = materialize(packed(vectors, forest), "vectors")
+def _labelled(table: DataFrame, means: DataFrame, close: float, min_cosine: float) -> DataFrame:
+    return materialize(_assigned(table, _chunks(means, close), min_cosine, False), "labels")
+
+
+def _peaks(table: DataFrame, forest: Forest, n: int, min_cosine: float, block: int, least: float) -> DataFrame:
+    """The peaks of a packed table, from all trees together; a first-level peak under ``least`` vectors is dropped."""
+    spark, trees = table.sparkSession, forest.n_trees
     parts = sorted_parts(spark, n, block)
     link = 0.95 * min_cosine**2  # two vectors at min_cosine from one mean have about the square of it between them
     follow = 0.85 * min_cosine  # the nearest of many is nearer; a lower bound would lead peaks into other clusters
@@ -250,24 +252,55 @@ def clusters(
     for t in range(trees):
         sorted_ = table.select("kind", F.col(f"c{t}").alias("code"), "id", "vec").repartitionByRange(parts, "kind", "code", "id").sortWithinPartitions("kind", "code", "id")
         # The next tree's order brings together what this one's blocks kept apart.
-        level = materialize(sorted_.select("kind", "id", "vec").mapInArrow(_level(block, link, follow, forest, 0, False, least_peak), LEVEL), "peaks")
+        level = materialize(sorted_.select("kind", "id", "vec").mapInArrow(_level(block, link, follow, forest, 0, False, least), LEVEL), "peaks")
         peaks = level if peaks is None else peaks.unionByName(level)
         del sorted_
         release(spark)
-    count, before, turn = peaks.count(), None, 0
-    while count and count != before:  # each level leaves the peaks that no denser one draws
+    count, turn, idle = peaks.count(), 0, 0
+    while count and idle < trees:  # each level leaves the peaks that no denser one draws, in the order of any tree
         before, turn = count, turn + 1
         at = max(1, -(-count // (8 * block)))
         ranged = peaks.repartitionByRange(at, "kind", "code", "id").sortWithinPartitions("kind", "code", "id")
-        peaks = materialize(ranged.select("kind", "id", "vec", "weight").mapInArrow(_level(block, min_cosine, min_cosine, forest, turn % trees, True, least_peak), LEVEL), "peaks")
+        old, peaks = peaks, materialize(ranged.select("kind", "id", "vec", "weight").mapInArrow(_level(block, min_cosine, min_cosine, forest, turn % trees, True, 1), LEVEL), "peaks")
+        discard(old)
         count = peaks.count()
-    # A record counts once per tree; a peak that draws under half of the least cluster in each starts none.
-    means = materialize(_peak_rows(peaks.filter(F.col("weight") >= trees * min_size / 2)), "means")
+        idle = idle + 1 if count == before else 0
+    return peaks
+
+
+def clusters(
+    vectors: DataFrame, min_cosine: float = 0.8, min_size: int = 12, block: int = 1024, trees: int = 2, least_peak: float = 3, rows: int | None = None
+) -> DataFrame:
+    """(kind, id, cluster, size, cosine) of every comparable vector; cluster, the smallest id of its members, is null
+    for a vector that stands apart. vectors: (kind, id, vec), ids unique in a kind."""
+    n = rows if rows is not None else vectors.count()
+    forest = fit_forest(vectors, n, trees)
+    table = materialize(packed(vectors, forest), "vectors")
     close = (1 + min_cosine) / 2
+    # A record counts once per tree; a peak that draws under half of the least cluster in each starts none at first.
+    heavy = _peaks(table, forest, n, min_cosine, block, least_peak).filter(F.col("weight") >= trees * min_size / 2)
     # The first pass draws from farther away, since the mean of few vectors lies off that of their cluster.
-    means = materialize(_assigned(table, _chunks(means, close), 0.9 * min_cosine, True), "means")
+    means = materialize(_assigned(table, _chunks(_peak_rows(heavy), close), 0.9 * min_cosine, True), "means")
     means = _settled(table, means, close, min_cosine, min_size)
-    labelled = materialize(_assigned(table, _chunks(means, close), min_cosine, False), "labels")
+    labelled, taken, turn = _labelled(table, means, close, min_cosine), 0, 0
+    while True:  # peaks of the vectors that no mean took, however light, in the orders of new trees
+        inside = labelled.filter("label >= 0").select("kind", "id")
+        taken, turn = inside.count(), turn + 1
+        rest = vectors.join(inside, ["kind", "id"], "left_anti").select("kind", "id", "vec")
+        left = rest.count()
+        forest = fit_forest(rest, left, trees, seed=7 + turn)
+        apart = materialize(packed(rest, forest), "apart")
+        light = _peaks(apart, forest, left, min_cosine, block, 1).filter(F.col("weight") > trees)  # of two vectors at least
+        new = materialize(_assigned(apart, _chunks(_peak_rows(light), close), 0.9 * min_cosine, True), "means")
+        new = _settled(apart, new, close, min_cosine, min_size)
+        discard(apart)
+        if new.isEmpty():
+            break
+        more = _settled(table, materialize(means.unionByName(new), "means"), close, min_cosine, min_size)
+        again = _labelled(table, more, close, min_cosine)
+        if again.filter("label >= 0").count() <= taken:  # the new ones were parts of those there are
+            break
+        means, labelled = more, again
     sizes = labelled.filter("label >= 0").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster")).filter(F.col("size") >= min_size)
     out = labelled.join(sizes, ["kind", "label"], "left").select("kind", "id", "cluster", "size", F.when(F.col("cluster").isNotNull(), F.col("cosine")).alias("cosine"))
     discard(table)

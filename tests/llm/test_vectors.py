@@ -179,6 +179,15 @@ def test_sets_fit_their_own_means(spark):
         assert len(ids) >= 12 and (u[ids] @ mean / np.linalg.norm(mean)).min() >= 0.8 - 1e-6
 
 
+def test_clusters_from_light_peaks(spark):
+    rows, truth, sizes = planted(11, (40, 14, 13, 12, 12, 11), 600)
+    df = spark.createDataFrame(rows, "id long, kind string, vec array<float>")
+    got = {}
+    for r in C.clusters(df, block=32).filter("cluster is not null").collect():  # members lie spread over many blocks
+        got.setdefault(r["cluster"], set()).add(r["id"])
+    assert sorted(map(sorted, got.values())) == sorted(np.flatnonzero(truth == k).tolist() for k in range(len(sizes)) if sizes[k] >= 12)
+
+
 def test_density_peaks_follow_denser_neighbours():
     rng = np.random.default_rng(1)
     u = unit(rng.standard_normal((60, 6)).astype(np.float32))
