@@ -90,8 +90,9 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def discard(*steps: DataFrame) -> None:
-    """Delete materialised steps that nothing reads any more."""
+    """Delete materialised steps that nothing reads any more, and those that a step is made of."""
     for df in steps:
+        discard(*getattr(df, "_frameflow_steps", ()))
         path = getattr(df, "_frameflow_path", None)
         if path:
             _delete(weakref.ref(df.sparkSession), path)
