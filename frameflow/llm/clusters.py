@@ -3,16 +3,19 @@
 A cluster holds the vectors of one kind whose cosine to the mean of the cluster's unit vectors is at least
 ``min_cosine``; clusters do not overlap, and those below ``min_size`` are none: their vectors stand apart.
 
-Method. The vectors lie in the sorted arrays of a hash-prefix forest. In every block of an array (a blocked neighbour
-join) each vector gets its density, the summed cosine of the neighbours from ``link`` on, and a pointer to its most
-similar denser neighbour; following the pointers leads to the block's peaks, and every peak takes the sum of the unit
-vectors that lead to it. The peaks, as weighted records, pass through the same step again, level by level, until no
-pointer is left: these are the peaks of the whole table. All vectors are then labelled by the nearest peak mean and the
-means are taken anew, pass by pass, until no set changes (or the sets come back to those of an earlier pass).
-
-Only heavy peaks start means at first, lest parts of a cluster compete with it. The vectors that no mean took then go
-through all of it again, in new trees fitted on them and with every peak of two vectors or more, until a round gives no
-further members. Which vectors meet in a block stays a matter of the trees, so this is thorough, not exact.
+Method. The vectors lie in the sorted arrays of a hash-prefix forest. In blocked neighbour joins over all arrays each
+vector gets its density, the summed cosine of the neighbours from ``link`` on, and then, with the densities of all
+arrays summed, its nearest denser neighbour and the cosine to it. A vector whose nearest denser neighbour is farther
+than ``follow`` is a peak; all others are labelled by following the pointers to their peak, in joins that double the
+pointers. The sets of the peaks, as weighted records at their means, pass through the same step again, level by level,
+until no pointer is left: a set split over several peaks comes together. At last the sets are fitted to their means:
+members that lie too far from the mean leave, and vectors outside join the nearest mean that takes them, pass by pass,
+until no set changes (or the sets come back to those of an earlier pass).
+
+A vector outside is compared with the means that lie next to it in the arrays of all means, at least ``means`` on either
+side in every tree (with fewer means: with all), in groups of bounded size, so that the work grows with the number of
+vectors alone. Large sets and small ones have arrays of their own. Which vectors meet in an array is a matter of the
+trees, so the result is not exact; README.md compares it with brute force.
 
 Defined results: vectors that are not comparable belong to no cluster and don't stand apart either (they are left
 out); equal vectors share a cluster; ties in density go to the smaller id; an empty table gives no rows.
@@ -24,59 +27,110 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameflow.llm.vectors import Forest, blocks, fit_forest, pack, packed, sorted_parts, unit, unpack
+from frameflow.llm.vectors import Forest, Rows, fit_forest, pack, packed, scans, sorted_parts, unit, unpack
+from frameflow.operators.skew import lookup
 from frameflow.session import discard, materialize, release
 
-LEVEL = "kind string, id long, code long, vec binary, weight double"
-SETS = "kind string, label long, n double, total binary, mark long"
-#: Floats of means that one task holds at a time; more means are taken in several passes over the table.
-MEANS_FLOATS = 16_000_000
+DENSE = "kind string, id long, density double"
+POINTER = "kind string, id long, parent long, cosine double"
+SUMS = "kind string, label long, n double, total binary, mark long"
+HIT = "kind string, id long, label long, cosine double"
+#: Rows that share one product, and vectors outside that meet a block of means in one task.
+PIECE, OUTSIDE = 512, 32_768
 
 
-def density_peaks(ids: np.ndarray, u: np.ndarray, weight: np.ndarray, link: float, follow: float = -1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(density, parent, root) of each row of a block; a peak is its own parent and root.
+# ---- density and pointers ------------------------------------------------------------------------------------------
 
-    Neighbours from ``link`` on count for the density, those from ``follow`` on (and link) may be pointed to.
-    """
-    s = u @ u.T
-    np.fill_diagonal(s, 0)
+
+def density(u: np.ndarray, v: np.ndarray, weight: np.ndarray, link: float) -> np.ndarray:
+    """Of each row of u the summed cosine, times weight, of the rows of v from ``link`` on."""
+    s = u @ v.T
     s *= s >= link
-    w = weight.astype(np.float32)
-    density = s @ w + w
-    rank = np.empty(len(s), np.int32)
-    rank[np.lexsort((ids, -density))] = np.arange(len(s), dtype=np.int32)  # the densest first
-    s *= rank[None, :] < rank[:, None]  # only denser neighbours stay
-    near = s.argmax(axis=1)
-    parent = np.where(s[np.arange(len(s)), near] > max(follow, 0), near, np.arange(len(s)))
-    root = parent
-    while True:
-        up = root[root]
-        if (up == root).all():
-            return density, parent, root
-        root = up
+    return (s @ weight.astype(np.float32)).astype(np.float64)
 
 
-def _level(block: int, link: float, follow: float, forest: Forest, next_tree: int, weighted: bool, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, ids, u, cols in blocks(batches, block, ("weight",) if weighted else ()):
-            w = cols[0] if weighted else np.ones(len(ids))
-            _, _, root = density_peaks(ids, u, w, link, follow)
-            peaks, which = np.unique(root, return_inverse=True)
-            total = np.bincount(which, w)
-            o = np.argsort(which, kind="stable")
-            sums = np.add.reduceat(u[o] * w[o, None].astype(np.float32), np.searchsorted(which[o], np.arange(len(peaks))), axis=0)
-            keep = (total >= least) & (np.abs(sums).max(axis=1) > 0)
-            if keep.any():
-                mean = unit(sums[keep])
+def nearest_denser(u: np.ndarray, v: np.ndarray, rank_u: np.ndarray, rank_v: np.ndarray, follow: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of u the nearest row of v with a smaller rank (the denser come first) and the cosine to it, or -1."""
+    s = u @ v.T
+    s[rank_v[None, :] >= rank_u[:, None]] = -2
+    near = s.argmax(axis=1)
+    cosine = s[np.arange(len(s)), near].astype(np.float64)
+    return np.where(cosine >= follow, near, -1), cosine
+
+
+def _densities(link: float, reach: int):
+    def visit(rows: Rows) -> Iterator[pa.RecordBatch]:
+        u, w = rows.units(), rows.more["weight"]
+        out = np.zeros(len(rows))
+        for a, z, lo, hi in rows.pieces(PIECE):
+            lo, hi = max(lo, a - reach), min(hi, z + reach)
+            if lo < hi:
+                out[a:z] += density(u[a:z], u[lo:hi], w[lo:hi], link)
+        if rows.cut is None:
+            out -= w  # a row is no neighbour of its own
+        some = np.flatnonzero(out > 1e-3)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array([rows.kind] * len(some)), pa.array(rows.ids[some]), pa.array(out[some])], names=["kind", "id", "density"])
+
+    return visit
+
+
+def _pointers(follow: float, reach: int):
+    def visit(rows: Rows) -> Iterator[pa.RecordBatch]:
+        u, ids = rows.units(), rows.ids
+        rank = np.empty(len(rows), np.int64)
+        rank[np.lexsort((ids, -rows.more["density"]))] = np.arange(len(rows))
+        for a, z, lo, hi in rows.pieces(PIECE):
+            lo, hi = max(lo, a - reach), min(hi, z + reach)
+            if lo >= hi:
+                continue
+            near, cosine = nearest_denser(u[a:z], u[lo:hi], rank[a:z], rank[lo:hi], follow)
+            some = np.flatnonzero(near >= 0)
+            if len(some):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(mean)), pa.array(ids[peaks[keep]]), pa.array(forest.codes(kind, mean)[next_tree]), pa.array(pack(mean), pa.binary()), pa.array(total[keep])],
-                    names=["kind", "id", "code", "vec", "weight"],
+                    [pa.array([rows.kind] * len(some)), pa.array(ids[a + some]), pa.array(ids[lo + near[some]]), pa.array(cosine[some])], names=["kind", "id", "parent", "cosine"]
                 )
 
-    return run
+    return visit
+
+
+def peaks(records: DataFrame, trees: int, n: int, link: float, follow: float, reach: int) -> DataFrame:
+    """(kind, id, root): each record with the peak that its pointers lead to. records: kind, id, c0 .., vec, weight."""
+    spark = records.sparkSession
+    parts = sorted_parts(spark, n, reach)
+    dense = scans(records, trees, _densities(link, reach), DENSE, reach, parts, ("weight",))
+    per = dense.groupBy("kind", "id").agg(F.round(F.sum("density"), 3).alias("density"))
+    ranked = materialize(records.join(per, ["kind", "id"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)) + F.col("weight")), "dense")
+    discard(dense)
+    pointer = scans(ranked.filter("density > weight"), trees, _pointers(follow, reach), POINTER, reach, parts, ("density",))
+    nearest = pointer.groupBy("kind", "id").agg(F.max(F.struct("cosine", (-F.col("parent")).alias("parent"))).alias("p"))
+    nearest = materialize(nearest.select("kind", "id", (-F.col("p.parent")).alias("root")), "pointers")
+    discard(pointer)
+    # Follow the pointers: those of a round lead twice as far as those of the round before.
+    roots = materialize(nearest.unionByName(ranked.select("kind", "id", F.lit(None).cast("long").alias("root")).join(nearest.select("kind", "id"), ["kind", "id"], "left_anti")).select("kind", "id", F.coalesce("root", "id").alias("root")), "roots")
+    discard(ranked, nearest)
+    while True:
+        above = roots.filter("root <> id").select("kind", F.col("id").alias("root"), F.col("root").alias("up"))
+        step = lookup(roots, above, ["kind", "root"], n, "left")
+        old, roots = roots, materialize(step.select("kind", "id", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
+        moved = roots.filter("moved").isEmpty()
+        roots = _plain(roots, ["kind", "id", "root"])
+        discard(old)
+        if moved:
+            return roots
+
+
+def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
+    out = df.select(*columns)
+    out._frameflow_steps = [df]
+    return out
+
+
+# ---- sets and their means ------------------------------------------------------------------------------------------
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
@@ -87,222 +141,260 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _label(means: dict[str, tuple[np.ndarray, np.ndarray]], floor: float, sums: bool, carry: bool):
-    """Nearest mean of each row: as rows (kind, id, label, cosine), or as sums of unit vectors by label."""
+def _summed(kind: str, labels: np.ndarray, n: np.ndarray, total: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    """One row per label."""
+    o = np.argsort(labels, kind="stable")
+    of, start = np.unique(labels[o], return_index=True)
+    sums = np.add.reduceat(total[o], start, axis=0)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([kind] * len(of)),
+            pa.array(of),
+            pa.array(np.add.reduceat(n[o], start)),
+            pa.array([s.tobytes() for s in sums], pa.binary()),
+            pa.array(np.add.reduceat(mark[o], start).view(np.int64)),
+        ],
+        names=["kind", "label", "n", "total", "mark"],
+    )
+
+
+def _of_kinds(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    kinds = b.column("kind").dictionary_encode()
+    which = kinds.indices.to_numpy(zero_copy_only=False)
+    for k, kind in enumerate(kinds.dictionary.to_pylist()):
+        rows = np.flatnonzero(which == k)
+        yield kind, b if len(rows) == b.num_rows else b.take(pa.array(rows))
+
+
+def _member_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for kind, part in _of_kinds(b):
+            ids = part.column("id").to_numpy(zero_copy_only=False)
+            yield _summed(kind, part.column("label").to_numpy(zero_copy_only=False), np.ones(len(ids)), unit(unpack(part.column("vec"))).astype(np.float64), _mixed(ids))
+
+
+def _sum_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of one label come next to each other; the last label of a batch may go on in the next one."""
+    held: pa.RecordBatch | None = None
+
+    def add(kind: str, part: pa.RecordBatch) -> pa.RecordBatch:
+        total = np.frombuffer(b"".join(part.column("total").to_pylist()), np.float64).reshape(part.num_rows, -1)
+        return _summed(kind, part.column("label").to_numpy(), part.column("n").to_numpy(), total, part.column("mark").to_numpy().view(np.uint64))
+
+    for b in batches:
+        for kind, part in _of_kinds(b):
+            if held is not None and held.column("kind")[0].as_py() == kind:
+                part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
+            elif held is not None:
+                yield held
+            out = add(kind, part)  # in the order of labels, as the rows are
+            held = out.slice(out.num_rows - 1, 1)
+            if out.num_rows > 1:
+                yield out.slice(0, out.num_rows - 1)
+    if held is not None:
+        yield held
+
+
+def sets_of(members: DataFrame) -> DataFrame:
+    """(kind, label, n, total, mark): size, sum of unit vectors and mark of each set; members: kind, id, label, vec.
+
+    Sums are added where the rows lie before they are exchanged, so that the largest set costs no task more than others.
+    """
+    part = members.filter("label is not null").select("kind", "id", "label", "vec").mapInArrow(_member_sums, SUMS)
+    local = part.repartition("kind", "label").sortWithinPartitions("kind", "label")
+    return materialize(local.mapInArrow(_sum_sums, SUMS), "sets")
+
+
+def _records(sets: DataFrame, forest: Forest) -> DataFrame:
+    """Sets as records at their means: kind, id (the label), c0 .., vec, weight."""
+    names = [f"c{t}" for t in range(forest.n_trees)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list] = {}
         for b in batches:
-            kinds = b.column("kind").dictionary_encode()
-            which = kinds.indices.to_numpy(zero_copy_only=False)
-            for k, kind in enumerate(kinds.dictionary.to_pylist()):
-                rows = np.flatnonzero(which == k)
-                part = b.take(pa.array(rows))
-                u = unit(unpack(part.column("vec")))
-                labels, m = means.get(kind, (np.empty(0, np.int64), None))
-                best, cos = np.full(len(u), -1), np.full(len(u), -2.0)
-                if len(labels):
-                    s = u @ m.T
-                    at = s.argmax(axis=1)
-                    v = s[np.arange(len(s)), at].astype(np.float64)
-                    hit = v >= floor
-                    best[hit], cos[hit] = labels[at[hit]], v[hit]
-                if carry:
-                    old, was = part.column("label").to_numpy(zero_copy_only=False), part.column("cosine").to_numpy(zero_copy_only=False)
-                    stay = was >= cos
-                    best, cos = np.where(stay, old, best), np.where(stay, was, cos)
-                if not sums:
-                    out = [part.column("kind"), part.column("id"), pa.array(best), pa.array(cos)]
-                    yield pa.RecordBatch.from_arrays([*out, part.column("vec")], names=["kind", "id", "label", "cosine", "vec"])
+            for kind, part in _of_kinds(b):
+                total = np.frombuffer(b"".join(part.column("total").to_pylist()), np.float64).reshape(part.num_rows, -1)
+                ok = np.flatnonzero(np.abs(total).max(axis=1) > 1e-9)
+                if not len(ok):
                     continue
-                o = np.flatnonzero(best >= 0)
-                o = o[np.argsort(best[o], kind="stable")]
-                if len(o):
-                    of, start = np.unique(best[o], return_index=True)
-                    marks = np.add.reduceat(_mixed(part.column("id").to_numpy(zero_copy_only=False)[o]), start).tolist()
-                    for label, s, n, mark in zip(of.tolist(), np.add.reduceat(u[o].astype(np.float64), start, axis=0), np.diff(np.r_[start, len(o)]).tolist(), marks, strict=True):
-                        h = held.setdefault((kind, label), [0, 0.0, 0])
-                        h[0] += n
-                        h[1] = h[1] + s
-                        h[2] = (h[2] + mark) % 2**64
-        if sums and held:
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in keys]),
-                    pa.array([k[1] for k in keys], pa.int64()),
-                    pa.array([float(held[k][0]) for k in keys]),
-                    pa.array([held[k][1].tobytes() for k in keys], pa.binary()),
-                    pa.array(np.array([held[k][2] for k in keys], np.uint64).view(np.int64)),
-                ],
-                names=["kind", "label", "n", "total", "mark"],
-            )
+                mean = unit(total[ok].astype(np.float32))
+                codes = [pa.array(c) for c in forest.codes(kind, mean)]
+                part = part.take(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([part.column("kind"), part.column("label"), *codes, pa.array(pack(mean), pa.binary()), part.column("n")], names=["kind", "id", *names, "vec", "weight"])
 
-    return run
+    return materialize(sets.mapInArrow(run, f"kind string, id long, {', '.join(n + ' long' for n in names)}, vec binary, weight double"), "means")
 
 
-def _add(group: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.float64) for x in group.column("total").to_pylist()], axis=0)
-    mark = group.column("mark").to_numpy().sum(keepdims=True)  # wraps around
-    first = {c: [group.column(c)[0].as_py()] for c in ("kind", "label")}
-    return pa.table({**first, "n": [float(sum(group.column("n").to_pylist()))], "total": pa.array([total.tobytes()], pa.binary()), "mark": mark})
-
-
-def _merged(kind_rows: list[tuple[int, float, np.ndarray]], close: float, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and unit means; a mean within ``close`` of a heavier one joins it."""
-    kind_rows.sort(key=lambda r: (-r[1], r[0]))
-    m = unit(np.array([r[2] for r in kind_rows], np.float32))
-    heads, at, n = np.empty_like(m), np.empty(len(m), np.int64), 0
-    total = np.zeros(m.shape)
-    for lo in range(0, len(m), step):
-        part, old = m[lo : lo + step], n
-        s = part @ heads[:old].T
-        best = s.argmax(axis=1) if old else np.zeros(len(part), np.int64)
-        cos = s[np.arange(len(part)), best] if old else np.full(len(part), -2.0)
-        for i, row in enumerate(part):
-            h, c = best[i], cos[i]
-            if n > old:
-                own = heads[old:n] @ row
-                if own.max() > c:
-                    h, c = old + own.argmax(), own.max()
-            if c < close:
-                h, n = n, n + 1
-                heads[h], at[h] = row, lo + i
-            total[h] += row.astype(np.float64) * kind_rows[lo + i][1]
-    return np.array([kind_rows[i][0] for i in at[:n]], np.int64), unit(total[:n].astype(np.float32))
-
-
-def _chunks(rows: DataFrame, close: float) -> list[dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """The means, merged over all of them, in pieces of at most MEANS_FLOATS floats. rows: kind, label, n, total.
-
-    The driver holds all means, as it does their pieces; a task holds one piece."""
-    of: dict[str, list] = {}
-    for r in rows.toLocalIterator():
-        of.setdefault(r["kind"], []).append((r["label"], r["n"], np.frombuffer(bytes(r["total"]), np.float64).astype(np.float32)))
-    out: list[dict[str, tuple[np.ndarray, np.ndarray]]] = [{}]
-    free = MEANS_FLOATS
-    for kind in sorted(of):
-        labels, m = _merged(of.pop(kind), close)
-        while len(labels):
-            take = free // m.shape[1]
-            if not take and out[-1]:
-                out.append({})
-                free = MEANS_FLOATS
-                continue
-            take = max(1, take)
-            out[-1][kind] = labels[:take], m[:take]
-            free -= min(take, len(labels)) * m.shape[1]
-            labels, m = labels[take:], m[take:]
-            if len(labels):
-                out.append({})
-                free = MEANS_FLOATS
-    return out
-
+def _merged(labels: DataFrame, sets: DataFrame, forest: Forest, follow: float, reach: int, n: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Labels and records (see _records) after the sets' own peaks, from ``follow`` on, have drawn the other sets in,
+    level by level, until none draws another; and whether any did."""
+    any_ = False
+    while True:
+        records = _records(sets, forest)
+        count = records.count()
+        roots = peaks(records, forest.n_trees, count, follow, follow, reach) if count else None
+        drawn = materialize(roots.filter("root <> id").select("kind", F.col("id").alias("label"), "root"), "drawn") if count else None
+        if drawn is None or drawn.isEmpty():
+            return labels, records, any_
+        any_ = True
+        joined = lookup(sets, drawn, ["kind", "label"], count, "left").select("kind", F.coalesce("root", "label").alias("label"), "n", "total", "mark")
+        sets = materialize(joined.repartition("kind", "label").sortWithinPartitions("kind", "label").mapInArrow(_sum_sums, SUMS), "sets")
+        rest = [c for c in labels.columns if c not in ("kind", "id", "label")]
+        labels = materialize(lookup(labels, drawn, ["kind", "label"], n, "left").select("kind", "id", F.coalesce("root", "label").alias("label"), *rest), "labels")
+        discard(roots, records)
+        release(labels.sparkSession)
+
+
+def _fits(floor: float):
+    """Members too far from their mean lose their label."""
 
-def _assigned(table: DataFrame, pieces: list, floor: float, sums: bool) -> DataFrame:
-    rows = "kind string, id long, label long, cosine double, vec binary"
-    now = table
-    for p in pieces[:-1]:
-        now = materialize(now.mapInArrow(_label(p, floor, False, now is not table), rows), "labelled")
-    last = pieces[-1]
-    if sums:
-        part = now.mapInArrow(_label(last, floor, True, now is not table), SETS)
-        return part.groupBy("kind", "label").applyInArrow(_add, SETS)  # one row per partition and label
-    return now.mapInArrow(_label(last, floor, False, now is not table), rows).drop("vec")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, part in _of_kinds(b):
+                cosine = np.full(part.num_rows, -2.0)
+                own = np.flatnonzero(part.column("mean").is_valid().to_numpy(zero_copy_only=False))
+                if len(own):
+                    near = part.select(["vec", "mean"]).take(pa.array(own))
+                    cosine[own] = np.einsum("ij,ij->i", *(unit(unpack(near.column(c))).astype(np.float64) for c in ("vec", "mean")))
+                label = pc.if_else(pa.array(cosine >= floor), part.column("label"), pa.scalar(None, pa.int64()))
+                out = {c: part.column(c) for c in part.schema.names if c != "mean"} | {"label": label, "cosine": pa.array(cosine)}
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
+    return run
 
-def _settled(table: DataFrame, means: DataFrame, close: float, min_cosine: float, min_size: int) -> DataFrame:
-    """The sets and their sums after as many passes as it takes until a state comes back: then no set changes any more,
-    or a few vectors go round in a cycle. Sets below ``min_size`` are dropped only then, and the rest settles again."""
-    seen: set[tuple] = set()
-    while True:
-        old, means = means, materialize(_assigned(table, _chunks(means, close), min_cosine, True), "means")
-        discard(old)
-        state = means.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("kind", "label", "n", "mark"))).first()
-        if tuple(state) in seen:
-            big = means.filter(F.col("n") >= min_size)
-            if big.count() == state[0]:
-                return means
-            means = materialize(big, "means")
-        seen.add(tuple(state))
 
+def _blocks_of(edges: list[dict[str, tuple[int, np.ndarray]]], code: str):
+    """The block in each array of means in which each vector lies: edges has, of each kind, its first block and the
+    first codes of the later ones."""
 
-def _peak_rows(level: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                one = b.slice(i, 1)
-                v = unpack(one.column("vec"))[0].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([one.column("kind"), one.column("id"), one.column("weight"), pa.array([v.tobytes()], pa.binary())], names=["kind", "label", "n", "total"])
+            for kind, part in _of_kinds(b):
+                for array, of in enumerate(edges):
+                    if kind in of:
+                        first, codes = of[kind]
+                        block = first + np.searchsorted(codes, part.column(code).to_numpy(zero_copy_only=False), "right")
+                        marks = [pa.array(x.astype(np.int32)) for x in (np.full(len(block), array), block)]
+                        yield pa.RecordBatch.from_arrays([*marks, *(part.column(c) for c in ("kind", "id", "vec"))], names=["array", "block", "kind", "id", "vec"])
 
-    return level.mapInArrow(run, "kind string, label long, n double, total binary")
+    return run
 
 
-def _labelled(table: DataFrame, means: DataFrame, close: float, min_cosine: float) -> DataFrame:
-    return materialize(_assigned(table, _chunks(means, close), min_cosine, False), "labels")
+def _nearest_mean(floor: float):
+    def run(group: pa.Table) -> pa.Table:
+        out = []
+        group = group.sort_by([("kind", "ascending"), ("label", "ascending")]).combine_chunks()
+        for b in group.to_batches():
+            for kind, part in _of_kinds(b):
+                label = part.column("label")
+                here = np.flatnonzero(label.is_valid().to_numpy(zero_copy_only=False))
+                rest = np.flatnonzero(label.is_null().to_numpy(zero_copy_only=False))
+                if not len(here) or not len(rest):
+                    continue
+                m = unit(unpack(part.column("vec").take(pa.array(here))))
+                labels = label.take(pa.array(here)).to_numpy()
+                for a in range(0, len(rest), 2048):
+                    rows = pa.array(rest[a : a + 2048])
+                    s = unit(unpack(part.column("vec").take(rows))) @ m.T
+                    best = s.argmax(axis=1)
+                    v = s[np.arange(len(s)), best].astype(np.float64)
+                    hit = np.flatnonzero(v >= floor)
+                    out.append(pa.table({"kind": [kind] * len(hit), "id": part.column("id").take(rows).take(pa.array(hit)), "label": labels[best[hit]], "cosine": v[hit]}))
+        empty = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("label", pa.int64()), ("cosine", pa.float64())])
+        return pa.concat_tables([t.cast(empty) for t in out]) if out else empty.empty_table()
 
+    return run
 
-def _peaks(table: DataFrame, forest: Forest, n: int, min_cosine: float, block: int, least: float) -> DataFrame:
-    """The peaks of a packed table, from all trees together; a first-level peak under ``least`` vectors is dropped."""
-    spark, trees = table.sparkSession, forest.n_trees
-    parts = sorted_parts(spark, n, block)
-    link = 0.95 * min_cosine**2  # two vectors at min_cosine from one mean have about the square of it between them
-    follow = 0.85 * min_cosine  # the nearest of many is nearer; a lower bound would lead peaks into other clusters
-    peaks = None
-    for t in range(trees):
-        sorted_ = table.select("kind", F.col(f"c{t}").alias("code"), "id", "vec").repartitionByRange(parts, "kind", "code", "id").sortWithinPartitions("kind", "code", "id")
-        # The next tree's order brings together what this one's blocks kept apart.
-        level = materialize(sorted_.select("kind", "id", "vec").mapInArrow(_level(block, link, follow, forest, 0, False, least), LEVEL), "peaks")
-        peaks = level if peaks is None else peaks.unionByName(level)
-        del sorted_
-        release(spark)
-    count, turn, idle = peaks.count(), 0, 0
-    while count and idle < trees:  # each level leaves the peaks that no denser one draws, in the order of any tree
-        before, turn = count, turn + 1
-        at = max(1, -(-count // (8 * block)))
-        ranged = peaks.repartitionByRange(at, "kind", "code", "id").sortWithinPartitions("kind", "code", "id")
-        old, peaks = peaks, materialize(ranged.select("kind", "id", "vec", "weight").mapInArrow(_level(block, min_cosine, min_cosine, forest, turn % trees, True, 1), LEVEL), "peaks")
-        discard(old)
-        count = peaks.count()
-        idle = idle + 1 if count == before else 0
-    return peaks
+
+def taken(outside: DataFrame, records: DataFrame, trees: int, floor: float, min_size: int, means: int) -> DataFrame:
+    """(kind, id, label, cosine): the nearest mean, from floor on, of vectors outside, among those next to them in the
+    arrays of means. outside: kind, id, c0 .., vec; records as of _records."""
+    large = F.col("weight") >= min_size
+    counts = records.agg(F.count_if(large), F.count_if(~large)).first()
+    n_blocks = [max(1, k // means) for k in counts]
+    found = None
+    for t in range(trees if max(n_blocks) > 1 else 1):  # one block holds all means: other trees would give the same
+        arrays = []
+        for array, (n, part) in enumerate(zip(n_blocks, (records.filter(large), records.filter(~large)), strict=True)):
+            ranged = part.select("kind", F.col(f"c{t}").alias("code"), F.col("id").alias("label"), "vec").repartitionByRange(n, "kind", "code", "label")
+            arrays.append(ranged.withColumns({"array": F.lit(array), "block": F.spark_partition_id()}))
+        placed = materialize(arrays[0].unionByName(arrays[1]), "blocks")
+        edges: list[dict[str, tuple[int, np.ndarray]]] = [{}, {}]
+        firsts = placed.groupBy("array", "kind", "block").agg(F.min("code").alias("code")).orderBy("array", "kind", "block").collect()  # one row per block and kind
+        for array, kind in {(r["array"], r["kind"]) for r in firsts}:
+            own = [(r["block"], r["code"]) for r in firsts if (r["array"], r["kind"]) == (array, kind)]
+            edges[array][kind] = (own[0][0], np.array([c for _, c in own[1:]], np.int64))
+        where = materialize(outside.select("kind", "id", f"c{t}", "vec").mapInArrow(_blocks_of(edges, f"c{t}"), "array int, block int, kind string, id long, vec binary"), "outside")
+        at = ["array", "block"]
+        shares = F.broadcast(where.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / OUTSIDE).cast("int").alias("shares")))  # one row per block
+        vectors = where.join(shares, at).select(*at, F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), "kind", "id", F.lit(None).cast("long").alias("label"), "vec")
+        spread = placed.select("array", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block"), "kind", "label", "vec").join(shares, at)
+        spread = spread.select(*at, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "kind", F.lit(None).cast("long").alias("id"), "label", "vec")
+        hits = materialize(vectors.unionByName(spread).groupBy(*at, "share").applyInArrow(_nearest_mean(floor), HIT), "hits")
+        discard(placed, where)
+        found = hits if found is None else found.unionByName(hits)
+    best = found.groupBy("kind", "id").agg(F.max(F.struct("cosine", (-F.col("label")).alias("label"))).alias("b"))
+    return best.select("kind", "id", (-F.col("b.label")).alias("_label"), F.col("b.cosine").alias("_cosine"))
+
+
+def _fitted(state: DataFrame, records: DataFrame, n: int, trees: int, floor: float, min_size: int, means: int) -> DataFrame:
+    """The state after one pass: members near enough to their mean stay, vectors outside join the nearest mean that
+    takes them. state: kind, id, label (null: outside), cosine, c0 .., vec."""
+    with_mean = lookup(state, records.select("kind", F.col("id").alias("label"), F.col("vec").alias("mean")), ["kind", "label"], n, "left")
+    names = state.columns
+    known = materialize(with_mean.select(*names, "mean").mapInArrow(_fits(floor), state.schema), "known")
+    more = taken(known.filter("label is null"), records, trees, floor, min_size, means)
+    joined = known.join(more, ["kind", "id"], "left").withColumns({"cosine": F.when(F.col("label").isNull(), F.col("_cosine")).otherwise(F.col("cosine")), "label": F.coalesce("label", "_label")})
+    out = materialize(joined.select(*names), "state")
+    discard(known)
+    release(state.sparkSession)
+    return out
+
+
+def _mark(sets: DataFrame) -> tuple:
+    """Equal for equal sets."""
+    return tuple(sets.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("kind", "label", "n", "mark"))).first())
 
 
 def clusters(
-    vectors: DataFrame, min_cosine: float = 0.8, min_size: int = 12, block: int = 1024, trees: int = 2, least_peak: float = 3, rows: int | None = None
+    vectors: DataFrame, min_cosine: float = 0.8, min_size: int = 12, reach: int = 1024, trees: int = 4, means: int = 1024, rows: int | None = None
 ) -> DataFrame:
     """(kind, id, cluster, size, cosine) of every comparable vector; cluster, the smallest id of its members, is null
-    for a vector that stands apart. vectors: (kind, id, vec), ids unique in a kind."""
+    for a vector that stands apart. vectors: (kind, id, vec), ids unique in a kind. reach: rows on either side in each
+    array among which a vector looks for neighbours; means: those among which it looks for a set."""
     n = rows if rows is not None else vectors.count()
     forest = fit_forest(vectors, n, trees)
     table = materialize(packed(vectors, forest), "vectors")
-    close = (1 + min_cosine) / 2
-    # A record counts once per tree; a peak that draws under half of the least cluster in each starts none at first.
-    heavy = _peaks(table, forest, n, min_cosine, block, least_peak).filter(F.col("weight") >= trees * min_size / 2)
-    # The first pass draws from farther away, since the mean of few vectors lies off that of their cluster.
-    means = materialize(_assigned(table, _chunks(_peak_rows(heavy), close), 0.9 * min_cosine, True), "means")
-    means = _settled(table, means, close, min_cosine, min_size)
-    labelled, taken, turn = _labelled(table, means, close, min_cosine), 0, 0
-    while True:  # peaks of the vectors that no mean took, however light, in the orders of new trees
-        inside = labelled.filter("label >= 0").select("kind", "id")
-        taken, turn = inside.count(), turn + 1
-        rest = vectors.join(inside, ["kind", "id"], "left_anti").select("kind", "id", "vec")
-        left = rest.count()
-        forest = fit_forest(rest, left, trees, seed=7 + turn)
-        apart = materialize(packed(rest, forest), "apart")
-        light = _peaks(apart, forest, left, min_cosine, block, 1).filter(F.col("weight") > trees)  # of two vectors at least
-        new = materialize(_assigned(apart, _chunks(_peak_rows(light), close), 0.9 * min_cosine, True), "means")
-        new = _settled(apart, new, close, min_cosine, min_size)
-        discard(apart)
-        if new.isEmpty():
-            break
-        more = _settled(table, materialize(means.unionByName(new), "means"), close, min_cosine, min_size)
-        again = _labelled(table, more, close, min_cosine)
-        if again.filter("label >= 0").count() <= taken:  # the new ones were parts of those there are
-            break
-        means, labelled = more, again
-    sizes = labelled.filter("label >= 0").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster")).filter(F.col("size") >= min_size)
-    out = labelled.join(sizes, ["kind", "label"], "left").select("kind", "id", "cluster", "size", F.when(F.col("cluster").isNotNull(), F.col("cosine")).alias("cosine"))
+    if table.isEmpty():
+        return table.select("kind", "id", *[F.lit(None).cast(t).alias(c) for c, t in (("cluster", "long"), ("size", "long"), ("cosine", "double"))])
+    link = 0.95 * min_cosine**2  # two vectors at min_cosine from one mean have about the square of it between them
+    follow = 0.85 * min_cosine  # the nearest of many is nearer; a lower bound would lead pointers into other clusters
+    roots = peaks(table.withColumn("weight", F.lit(1.0)), trees, n, link, follow, reach)
+    labels = roots.withColumnRenamed("root", "label")
+    sets = sets_of(labels.join(table.select("kind", "id", "vec"), ["kind", "id"]))
+    labels, records, _ = _merged(labels, sets.filter("n > 1"), forest, min_cosine, reach, n)
+    state = materialize(table.join(labels.select("kind", "id", "label"), ["kind", "id"]).withColumn("cosine", F.lit(None).cast("double")), "state")
+    # The first pass takes vectors from farther away, since the mean of few vectors lies off that of their cluster.
+    floor, merging, seen = 0.9 * min_cosine, True, set()
+    while True:
+        old, state = state, _fitted(state, records, n, trees, floor, min_size, means)
+        discard(old)
+        floor = min_cosine
+        sets = sets_of(state)
+        if merging:
+            state, records, merging = _merged(state, sets.filter("n > 1"), forest, (1 + min_cosine) / 2, reach, n)
+            seen.add(_mark(sets))
+            continue
+        mark = _mark(sets)
+        if mark in seen:  # no set changes any more, or a few vectors go round in a cycle
+            if sets.filter(F.col("n") < min_size).isEmpty():
+                break
+            sets = sets.filter(F.col("n") >= min_size)
+            mark = _mark(sets)
+        seen.add(mark)
+        records = _records(sets, forest)
+    sizes = state.filter("label is not null").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster")).filter(F.col("size") >= min_size)
+    out = lookup(state.select("kind", "id", "label", "cosine"), sizes, ["kind", "label"], n, "left")
+    out = out.select("kind", "id", "cluster", "size", F.when(F.col("cluster").isNotNull(), F.col("cosine")).alias("cosine"))
     discard(table)
     return out
 

@@ -25,14 +25,18 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of comparable vectors with a cosine of at least 0.96, one among the other's 5 most similar."""
     vectors, n = _vectors(spark, d)
-    pairs = close_pairs(similar(vectors, k=5, trees=6, min_cosine=0.96, rows=n))
+    pairs = close_pairs(similar(vectors, k=5, min_cosine=0.96, rows=n))
     return pairs.select(F.substring_index("kind", "|", 1).alias("field"), "id_a", "id_b")
 
 
+#: Vectors without any near neighbour, half of the table, are found only by comparing many.
+NEIGHBOUR_CANDIDATES = 60_000
+
+
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar others, whatever their cosine, of every row whose id is divisible by 20, against all rows."""
     vectors, n = _vectors(spark, d)
-    near = similar(vectors, k=5, trees=6, block=8192, query_step=20, rows=n)
+    near = similar(vectors, k=5, trees=10, candidates=NEIGHBOUR_CANDIDATES, query_step=20, rows=n)
     return near.select(F.substring_index("kind", "|", 1).alias("field"), "id", "rank", "other", F.round("cosine", 5).alias("cosine"))
 
 

@@ -1,29 +1,34 @@
 """Comparable vectors, their lossless packing, and a hash-prefix forest over them.
 
 A row of the packed table is (kind, id, c0 .. c{T-1}, vec): ``kind`` groups vectors that may be compared, ``c_t`` is the
-64-bit hash string of tree t and ``vec`` the packed values. The hash string starts with the path through hyperplanes
-fitted on a bounded sample (they adapt to where the vectors lie) and goes on with signs of random projections of the
-vector's offset from its cell's centre; sorting by it makes the sorted array of a tree, in which a longer common prefix
-means a closer place.
+hash string of tree t, BITS long, and ``vec`` the packed values. The hash string starts with the path through
+hyperplanes fitted on a bounded sample (they adapt to where the vectors lie) and goes on with signs of random
+projections of the vector's offset from its cell's centre; sorting by it makes the sorted array of a tree, in which a
+longer common prefix means a closer place.
+
+A sorted array lies in range partitions; ``scan`` visits each partition, and then the rows on either side of every
+edge between two partitions, so that an edge separates nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameflow.session import partitions_for
+from frameflow.session import materialize, partitions_for, release
 
 #: Vectors of all kinds on which the top hyperplanes are fitted, at most about this many; every row is indexed.
 FIT_ROWS = 16_384
 #: Sample vectors that a fitted cell keeps at least.
 FIT_LEAF = 48
-RANDOM_BITS = 24
+#: Length of a hash string.
+BITS = 62
 
 
 def descriptor_vectors(descriptors: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -176,7 +181,7 @@ def grow(sample: np.ndarray, rng: np.random.Generator) -> Tree:
         members[2 * node + 1], members[2 * node + 2] = i[~right], i[right]
     first = 2**depth - 1
     centres = np.array([sample[members[first + k]].mean(axis=0) if len(members.get(first + k, ())) else np.zeros(d) for k in range(2**depth)], np.float32)
-    return Tree(depth, normals, offsets, centres, rng.standard_normal((RANDOM_BITS, d)).astype(np.float32))
+    return Tree(depth, normals, offsets, centres, rng.standard_normal((BITS - depth, d)).astype(np.float32))
 
 
 def fit_forest(vectors: DataFrame, rows: int, trees: int, seed: int = 7) -> Forest:
@@ -220,43 +225,144 @@ def packed(vectors: DataFrame, forest: Forest) -> DataFrame:
     return vectors.select("kind", "id", "vec").mapInArrow(run, f"kind string, id long, {', '.join(n + ' long' for n in names)}, vec binary")
 
 
-def sorted_parts(spark: SparkSession, rows: int, block: int) -> int:
-    """Partitions of a sorted array: enough that one holds a bounded number of rows, but each of several blocks, since
-    the rows beside a partition's edge don't see each other."""
-    return max(1, min(partitions_for(spark, rows, 64 * 1024), rows // (4 * block)))
-
-
-def blocks(batches: Iterator[pa.RecordBatch], size: int, columns: tuple[str, ...] = ()) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Cut a sorted stream of packed rows into runs of one kind and about ``size`` rows: (kind, ids, unit vectors,
-    columns). A run is at least half of ``size`` long unless its kind ends, or has fewer rows here."""
-    held: list[pa.Table] = []
-    n, of = 0, None
-
-    def cut() -> tuple[str, np.ndarray, np.ndarray, list[np.ndarray]]:
-        t = pa.concat_tables(held).combine_chunks()
-        ids = t.column("id").to_numpy()
-        return of, ids, unit(unpack(t.column("vec").combine_chunks())), [t.column(c).to_numpy() for c in columns]
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        kinds = t.column("kind").combine_chunks().dictionary_encode()
-        which = kinds.indices.to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(which)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if lo == hi:
-                continue
-            name = kinds.dictionary[int(which[lo])].as_py()
-            if name != of and n:
-                yield cut()
-                held, n = [], 0
-            of = name
-            while lo < hi:
-                take = min(hi - lo, size - n)
-                held.append(t.slice(lo, take))
-                n += take
-                lo += take
-                if n >= size:
-                    yield cut()
-                    held, n = [], 0
-    if n:
-        yield cut()
+# ---- sorted arrays ------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Rows:
+    """Rows of one kind in the order of a sorted array."""
+
+    kind: str
+    ids: np.ndarray
+    code: np.ndarray
+    vec: pa.Array
+    more: dict[str, np.ndarray]
+    #: None: all rows may meet; else only those before this place with those from it on.
+    cut: int | None = None
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def units(self) -> np.ndarray:
+        return unit(unpack(self.vec))
+
+    def pieces(self, size: int) -> Iterator[tuple[int, int, int, int]]:
+        """Rows [a, z) of bounded number, and the rows [lo, hi) that they may meet."""
+        n = len(self)
+        for a in range(0, n, size):
+            z = min(a + size, n)
+            if self.cut is None:
+                yield a, z, 0, n
+            else:
+                if a < self.cut:
+                    yield a, min(z, self.cut), self.cut, n
+                if z > self.cut:
+                    yield max(a, self.cut), z, 0, self.cut
+
+
+Visit = Callable[[Rows], Iterator[pa.RecordBatch]]
+
+
+def sorted_parts(spark: SparkSession, rows: int, reach: int) -> int:
+    """Partitions of a sorted array: enough that one holds a bounded number of rows, but each of several times
+    ``reach`` rows, since only that many rows beside an edge see the other side."""
+    return max(1, min(partitions_for(spark, rows, 64 * 1024), rows // (4 * reach)))
+
+
+def _runs_of_kinds(t: pa.Table, more: Sequence[str]) -> list[Rows]:
+    if not t.num_rows:
+        return []
+    t = t.combine_chunks()
+    which = t.column("kind").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(which)]
+    out = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        part = t.slice(lo, hi - lo).combine_chunks()
+        column = lambda c, part=part: part.column(c).combine_chunks()
+        out.append(Rows(column("kind")[0].as_py(), column("id").to_numpy(), column("code").to_numpy(), column("vec"), {c: column(c).to_numpy() for c in more}))
+    return out
+
+
+def scan(table: DataFrame, trees: Sequence[int], visit: Visit, schema: str, reach: int, parts: int, more: Sequence[str] = ()) -> DataFrame:
+    """What ``visit`` gives for the sorted arrays of the trees, as a materialised table of ``schema``.
+
+    visit gets the rows of one kind in one partition, and then, with ``cut``, the ``reach`` rows (none if 0) on either
+    side of each edge. ``more``: further numeric columns of the table that the rows carry.
+    """
+    keys = ["kind", "code", "id"]
+    columns = [*keys, "vec", *more]
+    names = [x.strip().split()[0] for x in schema.split(",")]
+    types = [ARROW[x.strip().split()[1]] for x in schema.split(",")]
+    edge_names = ["tree", "pid", "side", *[f"e_{c}" for c in columns]]
+
+    def runner(tree: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            t = pa.Table.from_batches(held)
+            runs = _runs_of_kinds(t, more)
+            for rows in runs:
+                for b in visit(rows):
+                    none = [pa.nulls(b.num_rows, pa.int32())] * 3 + [pa.nulls(b.num_rows, t.schema.field(c).type) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*b.columns, *none], names=[*names, *edge_names])
+            if not reach:
+                return
+            pid = TaskContext.get().partitionId()
+            last = min(reach, len(runs[-1]))
+            for side, e in ((0, t.slice(0, min(reach, len(runs[0])))), (1, t.slice(t.num_rows - last, last))):
+                for b in e.combine_chunks().to_batches():
+                    marks = [pa.array(np.full(b.num_rows, x, np.int32)) for x in (tree, pid, side)]
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, x) for x in types], *marks, *b.columns], names=[*names, *edge_names])
+
+        return run
+
+    found = None
+    for tree in trees:
+        sorted_ = table.select("kind", F.col(f"c{tree}").alias("code"), "id", "vec", *more).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        fields = sorted_.schema.fields
+        edge_schema = ", ".join([schema, "tree int, pid int, side int", *[f"e_{f.name} {f.dataType.simpleString()}" for f in fields]])
+        one = sorted_.mapInArrow(runner(tree), edge_schema)
+        found = one if found is None else found.unionByName(one)
+    found = materialize(found, "arrays")
+    inner = found.filter("side is null").select(*names)
+    inner._frameflow_steps = [found]
+    if parts == 1 or not reach:
+        return inner
+    edges = found.filter("side is not null").select("tree", "pid", "side", *[F.col(f"e_{c}").alias(c) for c in columns])
+    pids = edges.select("tree", "pid").distinct()  # one row per partition that isn't empty
+    before = pids.select("tree", "pid", F.lag("pid").over(Window.partitionBy("tree").orderBy("pid")).alias("before"))
+    first = edges.filter("side = 0").join(F.broadcast(before), ["tree", "pid"]).filter("before is not null").withColumn("edge", F.col("before")).drop("before")
+    edges = first.unionByName(edges.filter("side = 1").withColumn("edge", F.col("pid")))
+
+    def beside(group: pa.Table) -> pa.Table:
+        order = [("side", "descending"), ("code", "ascending"), ("id", "ascending")]  # the last rows of one partition, then the first of the next
+        runs = _runs_of_kinds(group.sort_by(order), (*more, "side"))
+        out = []
+        if len(runs) == 1:
+            rows = runs[0]
+            rows.cut = int((rows.more["side"] == 1).sum())
+            if 0 < rows.cut < len(rows):
+                out = list(visit(rows))
+        kinds = pa.schema(list(zip(names, types, strict=True)))
+        return pa.Table.from_batches(out).cast(kinds) if out else kinds.empty_table()
+
+    crossed = materialize(edges.select("tree", "edge", "side", *columns).groupBy("tree", "edge").applyInArrow(beside, schema), "edges")
+    out = inner.unionByName(crossed)
+    out._frameflow_steps = [found, crossed]
+    return out
+
+
+def scans(table: DataFrame, trees: int, visit: Visit, schema: str, reach: int, parts: int, more: Sequence[str] = (), together: int = 4) -> DataFrame:
+    """``scan`` of all trees, ``together`` at a time, between which their shuffle files are dropped."""
+    out, steps = None, []
+    for t in range(0, trees, together):
+        one = scan(table, range(t, min(trees, t + together)), visit, schema, reach, parts, more)
+        steps.append(one)
+        out = one if out is None else out.unionByName(one)
+        release(table.sparkSession)
+    out._frameflow_steps = steps if len(steps) > 1 else out._frameflow_steps
+    return out
+
+
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
