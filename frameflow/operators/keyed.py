@@ -1,8 +1,9 @@
 """Per-key results where a few keys hold most rows.
 
-Counts, sums and extremes are partial aggregates. Order statistics come by distributed exact selection: each round
-counts the values of every open interval into at most 2**bits bins, with counts that merge, and keeps the one bin that
-holds the wanted rank, until the interval is a single value. No value of a key is ever gathered, so a key with a third
+Everything comes from histograms whose bins merge. The first has a bin for each length of a value in bits; its bins'
+counts, sums and extremes, added up, are those of the key. Order statistics come by distributed exact selection: the bin
+that holds the wanted rank is an open interval, and each round counts the values of every open interval into at most
+2**bits bins and keeps the one that holds the rank, until the interval is a single value. No value of a key is ever gathered, so a key with a third
 of all rows costs the same as any other third of the rows.
 """
 
@@ -17,6 +18,7 @@ from frameflow.session import materialize
 
 #: Interval tables up to this many rows (about 60 bytes each) are broadcast, larger ones meet the rows salted.
 BROADCAST_ROWS = 200_000
+#: Salts of larger ones at least; more where the session has more shuffle partitions.
 SALTS = 16
 
 
@@ -37,22 +39,33 @@ def key_profile(
     """
     sums = sums or {}
     base = df.select(key.alias("key"), value.cast("long").alias("v"), *[c.cast("long").alias(f"s{i}") for i, c in enumerate(sums.values())])
+    # The first histogram has a bin for each length of a value in bits, below and above zero, and one for null.
+    length = F.length(F.bin("v"))
+    size = F.when(F.col("v") < 0, -F.length(F.bin(F.bitwise_not("v")))).otherwise(length)
+    hist = materialize(
+        base.groupBy("key", F.when(F.col("v").isNotNull(), size).alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(sums))]
+        ),
+        "histogram",
+    )
     per_key = materialize(
-        base.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count("v").alias("n_values"),
-            F.min("v").alias("first"),
-            F.max("v").alias("last"),
+        hist.groupBy("key").agg(
+            F.sum("n").alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"),
+            F.min("lo").alias("first"),
+            F.max("hi").alias("last"),
             *[F.sum(f"s{i}").alias(n) for i, n in enumerate(sums)],
         ),
         "keys",
     )
+    if not probs:
+        return per_key
     base = base.select("key", "v")
     ranks = F.array(*[F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n_values"))).cast("long") for p in probs])
-    open_ = materialize(
-        per_key.filter("n_values > 0").select("key", F.posexplode(ranks).alias("q", "rank"), F.col("first").alias("lo"), F.col("last").alias("hi")),
-        "intervals",
-    )
+    wanted = per_key.filter("n_values > 0").select(F.col("key").alias("k"), F.posexplode(ranks).alias("q", "rank"))
+    bins = hist.filter("bin is not null").withColumn("upto", F.sum("n").over(Window.partitionBy("key").orderBy("bin")))  # at most 128 rows a key
+    hit = bins.join(wanted, bins["key"].eqNullSafe(wanted["k"])).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+    open_ = materialize(hit.select("key", "q", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "lo", "hi"), "intervals")
     done = []
     while True:
         done.append(open_.filter("lo = hi").select("key", "q", F.col("lo").alias("at")))
@@ -79,8 +92,9 @@ def _refine(base: DataFrame, intervals: DataFrame, n: int, bits: int, broadcast_
     if n <= broadcast_rows:
         joined = rows.join(F.broadcast(s), rows["key"].eqNullSafe(s["k"]) & F.col("v").between(F.col("lo"), F.col("hi")))
     else:
-        salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
-        s = s.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salts = max(SALTS, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")
+        s = s.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         rows = rows.withColumn("row_salt", salt)
         joined = rows.join(s, rows["key"].eqNullSafe(s["k"]) & (F.col("row_salt") == F.col("salt")) & F.col("v").between(F.col("lo"), F.col("hi")))
     counts = joined.groupBy("k", "q", "rank", "lo", "hi", "shift", F.expr("shiftright(v, shift)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from frameflow.operators.keyed import heavy_keys, key_profile
 from frameflow.operators.messages import arrival_key, duplicate_deliveries, kept_messages, message_key
 from frameflow.schema import normal_stream
+from frameflow.session import materialize
 from frameflow.sources.tables import table
 
 
@@ -23,7 +24,7 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Streams that hold at least 3 % of all rows of frames."""
-    profile = key_profile(table(spark, d, "frames"), normal_stream(), F.col("sequence_nr"), (0.5,))
+    profile = key_profile(table(spark, d, "frames"), normal_stream(), F.col("sequence_nr"), ())
     return heavy_keys(profile, 3).select(F.col("key").alias("stream_id"))
 
 
@@ -32,7 +33,8 @@ def p5_streams(spark: SparkSession, d: str) -> DataFrame:
     frames = table(spark, d, "frames").filter("stream_id is not null and sequence_nr is not null")
     copy = F.struct(arrival_key().alias("at"), F.col("delivery_id").alias("did"), F.coalesce(F.octet_length("image"), F.lit(0)).alias("bytes"))
     kept = frames.select(*message_key(), copy.alias("copy")).groupBy("stream_id", "sequence_nr", "request_id").agg(F.min("copy").alias("copy"))
-    out = key_profile(kept, F.col("stream_id"), F.col("sequence_nr"), (0.5,), {"image_bytes": F.col("copy.bytes")})
+    kept = materialize(kept.select("stream_id", "sequence_nr", F.col("copy.bytes").alias("bytes")), "kept")  # read once per round
+    out = key_profile(kept, F.col("stream_id"), F.col("sequence_nr"), (0.5,), {"image_bytes": F.col("bytes")})
     return out.select(F.col("key").alias("stream_id"), F.col("n_rows").alias("n_messages"), F.col("first").alias("first_seq"), F.col("q0").alias("median_seq"), F.col("last").alias("last_seq"), "image_bytes")
 
 

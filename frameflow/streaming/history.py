@@ -119,14 +119,18 @@ def read_latest(spark, path: str, batch_id: int, ts: str | None = None, expire_m
 
 def ingest_batches(index, sink):
     """A foreachBatch function that puts every micro-batch through a message index and hands the duplicates to
-    ``sink(duplicates, batch_id)``."""
+    ``sink(duplicates, batch_id)``.
+
+    A micro-batch that runs again gives what it gave the first time and enters the index once; with an index opened by
+    ``MessageIndex.open`` that holds over restarts. The sink may see a batch_id twice and should replace what it has.
+    """
     from frameflow.operators.messages import identified, local_winners
     from frameflow.session import materialize
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         ids = identified(batch, None).withColumn("round", F.lit(0)).drop("batch")
         local = materialize(ids.mapInArrow(local_winners, "dup boolean, round int, h1 long, h2 long, at long, did long"), "deliveries")
-        dups = local.filter("dup").select(F.col("did").alias("delivery_id")).unionByName(index.ingest(local.filter("not dup")))
+        dups = local.filter("dup").select(F.col("did").alias("delivery_id")).unionByName(index.ingest(local.filter("not dup"), batch_id))
         sink(dups, batch_id)
 
     return apply

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameflow.operators.keyed import heavy_keys, key_profile
-from frameflow.operators.messages import duplicate_deliveries, kept_messages
+from frameflow.operators.messages import MessageIndex, duplicate_deliveries, kept_messages
 from frameflow.operators.ordered import neighbour_pairs
+from frameflow.operators.skew import lookup
+from frameflow.streaming.history import ingest_batches
 
 SCHEMA = "delivery_id long, batch_nr long, arrived_at timestamp, request_id long, stream_id string, sequence_nr long, h1 string, prefix string"
 T0 = dt.datetime(2024, 1, 1)
@@ -101,3 +103,40 @@ def test_neighbour_pairs(spark):
         want += [(g, a, b) for a, b in zip(v, v[1:], strict=False)]
     assert got == sorted(want)
     assert neighbour_pairs(spark.createDataFrame([], "g string, v long"), "g", "v", 3).count() == 0
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    rows = random_rows(7, 200, True)
+    seen = {}
+    sink = lambda d, b: seen.setdefault(b, []).append(sorted(x[0] for x in d.collect()))
+    parts = [rows[k::4] for k in range(4)]
+    for b, part in enumerate(parts):
+        index = MessageIndex.open(spark, f"file://{tmp_path}/index", prefixes=5)  # a restart before every batch
+        df = spark.createDataFrame(part, SCHEMA)
+        ingest_batches(index, sink)(df, b)
+        ingest_batches(MessageIndex.open(spark, f"file://{tmp_path}/index", prefixes=9), sink)(df, b)
+        index.close()
+    assert all(len(x) == 2 and x[0] == x[1] for x in seen.values()) and len(seen) == 4
+    assert sorted(i for x in seen.values() for i in x[0]) == expected(rows)
+    index = MessageIndex.open(spark, f"file://{tmp_path}/index", prefixes=5)
+    assert [level for _, level in index.runs] == [2]  # four runs, merged twice
+    # The indexed deliveries themselves under a new number are no duplicates of themselves.
+    ingest_batches(index, sink)(spark.createDataFrame([r for r in rows if r[0] not in expected(rows)], SCHEMA), 9)
+    assert seen[9] == [[]]
+    index.forget_batches(9)
+    assert set(MessageIndex.open(spark, f"file://{tmp_path}/index", prefixes=5).batches) == {9}
+
+
+def test_a_kept_id_on_several_rows(spark):
+    rows = [(1, 1, T0, -1, "a", 1, "", ""), (1, 1, T0, -1, "a", 1, "", ""), (2, 9, T0, -1, "A", 1, "", ""), (3, 9, T0, -1, "b", 1, "", "")]
+    kept = kept_messages(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r["delivery_id"], r["stream_id"]) for r in kept.collect()) == [(1, "a"), (3, "b")]
+
+
+def test_lookup_spreads_hot_keys(spark):
+    rows = [("h", i) for i in range(500)] + [(f"k{i % 50}", i) for i in range(200)] + [(None, 1)]
+    left = spark.createDataFrame(rows, "k string, v long")
+    right = spark.createDataFrame([("h", 1.0), ("k3", 2.0), ("none", 3.0)], "k string, w double")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, lookup(left, right, ["k"], 701, how, share=10, least=100).collect()), key=str)
+        assert got == sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
