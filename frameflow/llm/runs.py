@@ -7,7 +7,8 @@ bytes is at most ``tolerance`` x length.
 Method. The events are range-partitioned by (stream_id, request_id, sequence_nr), so that a stream of any size is cut
 into chunks of bounded size. In every chunk the run starts are gathered into a sorted array, events are assigned to
 them by binary search, and counts and times are aggregated per run. Runs that touch an end of their partition carry
-their outer image, and a last step over two records per partition joins those that go on in the next one.
+their outer image. A join of each partition's last run with the next partition's first compares those images, and the
+runs that go on, also over many partitions, are added up by the numbers of their partitions, without images.
 
 Defined results: rows with a null stream_id or sequence_nr are no event; a null request_id is -1; a null or empty
 image belongs to nothing, so its event is a run of one; the duration is the span of the non-null ts_ms, null if there
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.operators.messages import LAST, arrival_key, first_of_each, message_key
@@ -31,14 +32,16 @@ from frameflow.session import materialize, partitions_for
 RUN = "stream_id string, request_id long, first_seq long, last_seq long, n_frames long, ts_first long, ts_last long, edge int, pid int, head binary, tail binary"
 NAMES = [x.split()[0] for x in RUN.split(", ")]
 NO_TS = (2**62, -(2**62))
+#: Bytes of a table's files per partition.
+PARTITION_BYTES = 256 << 20
 
 
-def _best_copies(held_rows: int):
-    """The best copy of each message among every ``held_rows`` rows, so that no message floods a later task."""
+def _best_copies(held_rows: int, held_bytes: int = 64 << 20):
+    """The best copy of each message among so many rows or bytes, so that no message floods a later task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        n = size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
@@ -49,10 +52,10 @@ def _best_copies(held_rows: int):
 
         for b in batches:
             held.append(b)
-            n += b.num_rows
-            if n >= held_rows:
+            n, size = n + b.num_rows, size + b.nbytes
+            if n >= held_rows or size >= held_bytes:
                 yield from out()
-                held, n = [], 0
+                held, n, size = [], 0, 0
         if held:
             yield from out()
 
@@ -152,29 +155,39 @@ def _runs(tolerance: int):
     return run
 
 
-def _stitch(tolerance: int):
-    def run(t: pa.Table) -> pa.Table:
-        done, held = [], None
-        for r in sorted(t.to_pylist(), key=lambda r: (r["pid"], r["edge"])):
-            if held is not None and r["edge"] & 1 and held["edge"] & 2 and (held["stream_id"], held["request_id"]) == (r["stream_id"], r["request_id"]) and held["tail"] and r["head"] and alike(pa.array([held["tail"], r["head"]], pa.binary()), tolerance)[1]:
-                spans = [x for x in (held, r) if x["ts_first"] is not None]
-                held |= {
-                    "last_seq": r["last_seq"], "n_frames": held["n_frames"] + r["n_frames"], "edge": held["edge"] & 1 | r["edge"] & 2, "tail": r["tail"],
-                    "ts_first": min((x["ts_first"] for x in spans), default=None), "ts_last": max((x["ts_last"] for x in spans), default=None),
-                }
-                continue
-            if held is not None:
-                done.append(held)
-            held = r
-        if held is not None:
-            done.append(held)
-        return pa.Table.from_pylist(done, schema=t.schema)
+def _go_on(tolerance: int):
+    """Whether the last image of a partition and the first of the next belong together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pair = pa.concat_arrays([b.column("tail"), b.column("head")]).take(pa.array(np.arange(2 * b.num_rows).reshape(2, -1).T.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("pid"), pa.array(alike(pair, tolerance)[1::2])], names=["pid", "together"])
 
     return run
 
 
-def collapsed_runs(frames: DataFrame, tolerance: int = 2, rows: int | None = None) -> DataFrame:
-    """(stream_id, request_id, first_seq, last_seq, n_frames, duration_ms), one row per run; every kept event is in one."""
+def _stitched(runs: DataFrame, tolerance: int) -> DataFrame:
+    """The runs at the ends of partitions, put together where they go on. runs: as of _runs, written."""
+    edges = runs.filter("edge > 0")
+    order = Window.partitionBy(F.lit(0)).orderBy("pid")
+    pids = edges.select("pid").distinct().withColumn("next", F.lead("pid").over(order)).filter("next is not null")  # numbers, one per partition
+    tails = edges.filter(F.col("edge").bitwiseAND(2) > 0).select("pid", "stream_id", "request_id", "tail")
+    heads = edges.filter(F.col("edge").bitwiseAND(1) > 0).select(F.col("pid").alias("next"), "stream_id", "request_id", "head")
+    pairs = tails.join(pids, "pid").join(heads, ["next", "stream_id", "request_id"]).filter("tail is not null and head is not null").select("next", "tail", "head")
+    links = pairs.select(F.col("next").alias("pid"), "tail", "head").mapInArrow(_go_on(tolerance), "pid int, together boolean").filter("together")
+    plain = edges.drop("head", "tail").join(links, "pid", "left")
+    # Two rows per partition at most, without images, in order; a row that doesn't go on begins a new run.
+    along = Window.partitionBy(F.lit(0)).orderBy("pid", "edge")
+    begins = F.when((F.col("edge").bitwiseAND(1) > 0) & F.coalesce("together", F.lit(False)), 0).otherwise(1)
+    g = plain.withColumn("run", F.sum(begins).over(along)).groupBy("run", "stream_id", "request_id")
+    return g.agg(F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.sum("n_frames").alias("n_frames"), F.min("ts_first").alias("ts_first"), F.max("ts_last").alias("ts_last"))
+
+
+def collapsed_runs(frames: DataFrame, tolerance: int = 2, rows: int | None = None, partitions: int | None = None) -> DataFrame:
+    """(stream_id, request_id, first_seq, last_seq, n_frames, duration_ms), one row per run; every kept event is in one.
+
+    partitions: by default so many that one holds a bounded number of rows and, as far as the size of the table's
+    files tells, of bytes."""
     spark = frames.sparkSession
     n = rows if rows is not None else frames.count()
     events = frames.filter(F.col("stream_id").isNotNull() & F.col("sequence_nr").isNotNull()).select(
@@ -183,8 +196,11 @@ def collapsed_runs(frames: DataFrame, tolerance: int = 2, rows: int | None = Non
     hashed = events.withColumns({"h1": F.xxhash64("stream_id", "sequence_nr", "request_id"), "h2": F.xxhash64(F.lit("m"), "request_id", "sequence_nr", "stream_id")})
     local = hashed.mapInArrow(_best_copies(60_000), events.schema)
     key = ["stream_id", "request_id", "sequence_nr"]
-    ranged = local.repartitionByRange(partitions_for(spark, n, 500_000), *key).sortWithinPartitions(*key, "at", "did")
+    if partitions is None:
+        size = int(str(frames._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        partitions = max(partitions_for(spark, n, 500_000), min(n // 1000, size // PARTITION_BYTES))
+    ranged = local.repartitionByRange(partitions, *key).sortWithinPartitions(*key, "at", "did")
     runs = materialize(ranged.select(*key, "ts_ms", "image").mapInArrow(_runs(tolerance), RUN), "runs")
-    edges = runs.filter("edge > 0").groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: _stitch(tolerance)(t.drop_columns([c for c in t.column_names if c not in NAMES])), RUN)
-    whole = runs.filter("edge = 0").unionByName(edges)
+    columns = ["stream_id", "request_id", "first_seq", "last_seq", "n_frames", "ts_first", "ts_last"]
+    whole = runs.filter("edge = 0").select(*columns).unionByName(_stitched(runs, tolerance).select(*columns))
     return whole.select("stream_id", "request_id", "first_seq", "last_seq", "n_frames", (F.col("ts_last") - F.col("ts_first")).alias("duration_ms"))

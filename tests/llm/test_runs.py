@@ -66,11 +66,9 @@ def test_runs_match_brute_force(spark, seed, parts):
 def test_one_long_run_over_all_partitions(spark):
     image = bytes(range(64))
     rows = [(i, T0, -1, "hot", i * 3, i * 40, image, "", "") for i in range(3000)] + [(9000 + i, None, None, "HOT", 0, 1, b"", "", "") for i in range(2000)]
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        assert result(collapsed_runs(spark.createDataFrame(rows, SCHEMA))) == [("hot", -1, 0, 8997, 3000, 2999 * 40)]
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    frames = spark.createDataFrame(rows, SCHEMA)
+    for partitions in (16, 200):
+        assert result(collapsed_runs(frames, partitions=partitions)) == [("hot", -1, 0, 8997, 3000, 2999 * 40)]
 
 
 def test_local_copies_are_dropped_before_the_exchange(spark):
