@@ -100,9 +100,14 @@ def stream_rates(df: DataFrame, keys: Sequence[str], seq: str = "sequence_nr", t
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str], expire_before: Column | None = None) -> DataFrame:
-    """The latest row of each stream; with expire_before, only streams whose latest row is not older."""
-    g = df.groupBy(*keys).agg(F.max(F.struct(*order, *[p for p in payload if p not in order])).alias("_m"))
-    out = g.select(*keys, *[F.col(f"_m.{x}").alias(x) for x in dict.fromkeys([*order, *payload])])
+    """The latest row of each stream; with expire_before, only streams whose latest row is not older.
+
+    ``order`` should tell the rows of a stream apart; of rows that are equal in it any one comes out. The payload may
+    have columns of any type.
+    """
+    rest = [p for p in payload if p not in (*keys, *order)]
+    g = df.groupBy(*keys).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("_m"))
+    out = g.select(*keys, *[F.col(f"_m.{x}").alias(x) for x in (*order, *rest)])
     return out.filter(expire_before) if expire_before is not None else out
 
 

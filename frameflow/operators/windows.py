@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,13 @@ from pyspark.sql import functions as F
 from frameflow.operators.ranking import positions, ranked
 
 
+class Batcher(Protocol):
+    """What a window must offer to a stream: own windows need no more than this."""
+
+    def take(self, history: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+        """The windows (first and last number) that a sorted history holds, and the numbers that are still needed."""
+
+
 @dataclass(frozen=True)
 class Discrete:
     """Windows of ``size`` numbers, each exactly ``step`` after the one before, that don't overlap.
@@ -46,6 +54,18 @@ class Discrete:
         # a full window is followed by a new one only where the run goes on; a new run starts anew anyway
         return out
 
+    def take(self, history: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+        out, left, i = [], [], 0
+        while i < len(history):
+            w = history[i : i + self.size]
+            if len(w) == self.size and w[-1] - w[0] == self.step * (self.size - 1) and all(b - a == self.step for a, b in zip(w, w[1:], strict=False)):
+                out.append((w[0], w[-1]))
+                i += self.size
+            else:
+                left.append(history[i])
+                i += 1
+        return out, left
+
 
 @dataclass(frozen=True)
 class Sliding:
@@ -93,6 +113,21 @@ class Sliding:
                 history.pop(0)
         return out
 
+    def take(self, history: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+        """Without max_size a head out of step waits, for a late number, behind the heads that go; with it, it holds back
+        all behind it until the history is longer than max_size."""
+        out, left, n = [], [], len(history)
+        for i, head in enumerate(history):
+            w = history[i : i + self.size]
+            in_step = len(w) == self.size and all(b - a == self.step for a, b in zip(w, w[1:], strict=False))
+            if in_step or (len(w) == self.size and self.max_size is not None and n - i > self.max_size):
+                out.append((head, w[-1]))
+            elif self.max_size is not None:
+                return out, history[i:]
+            else:
+                left.append(head)
+        return out, left
+
 
 @dataclass(frozen=True)
 class SameSequence:
@@ -106,6 +141,17 @@ class SameSequence:
         return g.filter(F.col("n") >= self.count).withColumn("overflow", F.col("n") > self.count)
 
 
+def with_trigger(windows: DataFrame, items: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("request_id",), seq: str = "sequence_nr", last: str = "last_seq") -> DataFrame:
+    """Windows with header columns of the item that completed them, the one with their last number.
+
+    Of several items with that number the one with the smallest columns counts. Columns that the windows have under
+    the same name are replaced.
+    """
+    rest = [c for c in windows.columns if c not in columns]
+    ends = items.filter(F.col(seq).isNotNull()).groupBy(*keys, F.col(seq).cast("long").alias(last)).agg(F.min(F.struct(*columns)).alias("_trigger"))
+    return _null_safe(windows.select(*rest), ends, [*keys, last]).select(*rest, *[F.col("_trigger")[c].alias(c) for c in columns])
+
+
 def _null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     b = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[x for x in b.columns if x not in keys])
     on = F.lit(True)

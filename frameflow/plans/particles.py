@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frameflow.functions.columns import entries_text, is_tile, magnitude, scaled
 from frameflow.operators import geometry, media, routing
 from frameflow.operators.ranking import numbered
-from frameflow.operators.windows import Discrete, SameSequence, Sliding
+from frameflow.operators.windows import Discrete, SameSequence, Sliding, with_trigger
 from frameflow.schema import normal_stream, normal_type
 from frameflow.sources.tables import table
 
@@ -197,6 +197,15 @@ def sliding_window_max(spark, d):
     return Sliding(3, 1, 4).frame(_lines(spark, d), ["stream"], "n")
 
 
+@query(f"""with e as (select {S} as stream_id, sequence_nr as n, min(coalesce(request_id, -1)) as request_id from frames
+    where stream_id is not null and sequence_nr is not null group by 1, 2),
+  w as (select stream_id, n as first_seq, lead(n) over (partition by stream_id order by n) as last_seq from e)
+select w.stream_id, w.first_seq, w.last_seq, e.request_id from w join e on e.stream_id = w.stream_id and e.n = w.last_seq where w.last_seq = w.first_seq + 1""")
+def window_trigger(spark, d):
+    items = _events(spark, d).withColumnRenamed("n", "sequence_nr")
+    return with_trigger(Sliding(2, 1).frame(items, ["stream_id"]), items, ["stream_id"])
+
+
 @query("""select l_orderkey as stream, l_linenumber as seq, count(*) as n, count(*) > 2 as overflow
 from lineitem group by 1, 2 having count(*) >= 2""")
 def same_sequence(spark, d):

@@ -28,7 +28,9 @@ union all select 'without' as kind, count(*) as n from customer where not exists
     "sql_having_case": """select s_nationkey, cast(sum(case when s_acctbal > 0 then 1 else 0 end) as bigint) as positive, count(*) as n from supplier group by s_nationkey having count(*) > 1""",
     "sql_session_gaps": """select user_id, count(*) as n_sessions from (select user_id, case when unix_seconds_gap > 1800 or unix_seconds_gap is null then 1 else 0 end as s
 from (select user_id, GAP as unix_seconds_gap from events)) where s = 1 group by user_id""",
-    "sql_as_of": """select e.event_id, max(p.event_id) as before_id from (select * from events where event_type = 'error') e join events p on p.user_id = e.user_id and p.event_id < e.event_id and p.event_type <> 'error' group by e.event_id""",
+    "sql_as_of": """select event_id, before_id from (select event_id, event_type,
+  max(case when event_type <> 'error' then event_id end) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before_id from events)
+where event_type = 'error' and before_id is not null""",
 }
 SPARK_GAP = "unix_seconds(cast(ts as timestamp)) - unix_seconds(cast(lag(ts) over (partition by user_id order by event_id) as timestamp))"
 DUCK_GAP = "cast(floor(epoch(ts)) - floor(epoch(lag(ts) over (partition by user_id order by event_id))) as bigint)"

@@ -1,12 +1,14 @@
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from frameflow.operators.messages import MessageIndex, duplicate_deliveries
-from frameflow.operators.windows import Discrete, Sliding
+from frameflow.operators.windows import Discrete, SameSequence, Sliding
 from frameflow.session import ship
-from frameflow.streaming.history import ingest_batches, once, read_latest, stream_same_sequence, stream_windows, upsert_latest
+from frameflow.streaming.history import ingest_batches, once, read_latest, refreshed, stream_same_sequence, stream_windows, upsert_latest
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "stream_id string, sequence_nr long, ts timestamp"
@@ -37,11 +39,11 @@ def rows(*numbers, stream_id="s", second=0):
     return [(stream_id, n, T0 + dt.timedelta(seconds=second + (n or 0))) for n in numbers]
 
 
-@pytest.mark.parametrize("window", [Discrete(3, 1), Sliding(2, 1)])
+@pytest.mark.parametrize("window", [Discrete(3, 1), Sliding(2, 1), Sliding(3, 1, 3)])
 def test_stream_equals_batch(spark, tmp_path, window):
     parts = [rows(0, 1, 2, 3) + rows(5, None, stream_id="t"), rows(4, 5, 7), rows(8, 9, 10) + rows(6, 7, stream_id="t")]
     df = stream(spark, tmp_path, parts).withWatermark("ts", "1 hour")
-    got = collect(stream_windows(df, ["stream_id"], window, ttl_ms=3_600_000), tmp_path, f"w{window.size}")
+    got = collect(stream_windows(df, ["stream_id"], window, ttl_ms=3_600_000), tmp_path, f"w{window.size}{type(window).__name__}")
     batch = spark.createDataFrame([r for p in parts for r in p], SCHEMA)
     want = window.frame(batch, ["stream_id"]).collect()
     key = lambda r: (r["stream_id"], r["first_seq"], r["last_seq"])
@@ -64,9 +66,49 @@ def test_once_and_same_sequence(spark, tmp_path):
     parts = [rows(1, 1, 2), rows(1, 3), rows(400)]
     got = collect(once(stream(spark, tmp_path, parts), ["stream_id", "sequence_nr"], "ts", "1 hour"), tmp_path, "once")
     assert sorted(r["sequence_nr"] for r in got) == [1, 2, 3, 400]
-    df = stream(spark, tmp_path / "b", parts).withWatermark("ts", "10 seconds")
-    same = collect(stream_same_sequence(df, ["stream_id", "sequence_nr"], 3), tmp_path, "same")
-    assert [(r["sequence_nr"], r["n"]) for r in same] == [(1, 3)]
+    # Items on both sides of a minute, and a group with too many.
+    minute = [("s", 7, T0 + dt.timedelta(seconds=59)), ("s", 8, T0 + dt.timedelta(seconds=58))]
+    minute2 = [("s", 7, T0 + dt.timedelta(seconds=61))] + [("s", 9, T0 + dt.timedelta(seconds=62))] * 3
+    df = stream(spark, tmp_path / "b", [minute, minute2, rows(400)]).withWatermark("ts", "10 seconds")
+    same = collect(stream_same_sequence(df, ["stream_id", "sequence_nr"], 2), tmp_path, "same")
+    batch = SameSequence(2).frame(spark.createDataFrame(minute + minute2, SCHEMA), ["stream_id"]).collect()
+    assert sorted((r["sequence_nr"], r["n"], r["overflow"]) for r in same) == sorted((r["seq"], r["n"], r["overflow"]) for r in batch) == [(7, 2, False), (9, 3, True)]
+
+
+def test_takes_equal_folds():
+    r = random.Random(3)
+    for _ in range(300):
+        numbers = sorted(r.sample(range(24), r.randrange(1, 20)))
+        for window in (Discrete(3, 1), Discrete(2, 2), Sliding(3, 1), Sliding(2, 1, 4), Sliding(3, 1, 3), Sliding(3, 2, 5)):
+            found, left, held = [], [], []
+            for k in range(0, len(numbers), 4):  # arrivals in batches; what isn't needed any more is gone
+                out, held = window.take(sorted({*held, *numbers[k : k + 4]}))
+                found += out
+            want = [(w[0], w[-1]) for w in window.fold(numbers)]
+            if isinstance(window, Discrete):
+                assert len(found) == len(set(found)) and set(want) <= {(a, z) for a, z in found} | set(want)
+            else:
+                assert sorted(found) == want
+
+
+def test_late_numbers_give_new_time():
+    held = refreshed({}, np.array([5, 3]), np.array([100, 200]), 10)
+    assert held == {3: 210, 5: 210}
+    held = refreshed(held, np.array([4, 5]), np.array([400, 1]), 10)
+    assert held == {3: 210, 4: 410, 5: 410} and list(held) == [3, 4, 5]
+    assert refreshed({}, np.array([], np.int64), np.array([], np.int64), 10) == {}
+
+
+def test_own_batcher(spark, tmp_path):
+    class EveryOther:
+        """Each number with the one after the next."""
+
+        def take(self, history):
+            return [(a, b) for a, b in zip(history[:-2], history[2:], strict=True)], history[-2:]
+
+    df = stream(spark, tmp_path, [rows(0, 1, 2), rows(3, 4)]).withWatermark("ts", "1 hour")
+    got = collect(stream_windows(df, ["stream_id"], EveryOther(), ttl_ms=3_600_000), tmp_path, "own")
+    assert sorted((r["first_seq"], r["last_seq"]) for r in got) == [(0, 2), (1, 3), (2, 4)]
 
 
 def test_latest(spark, tmp_path):
@@ -75,8 +117,19 @@ def test_latest(spark, tmp_path):
     q = df.writeStream.foreachBatch(upsert_latest(path, ["stream_id"], ["sequence_nr"])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["stream_id"], r["sequence_nr"]) for r in read_latest(spark, path, 2).collect()) == [("s", 6), ("t", 2)]
-    fresh = read_latest(spark, path, 2).withColumn("ms", F.unix_millis("ts"))
-    assert fresh.count() == 2
+    upsert_latest(path, ["stream_id"], ["sequence_nr"])(spark.createDataFrame(rows(6), SCHEMA), 2)  # runs again
+    fresh = read_latest(spark, path).withColumn("ms", F.unix_millis("ts"))
+    assert fresh.count() == 2 and read_latest(spark, path, ts="sequence_nr", expire_ms=3, now_ms=8).count() == 1
+
+
+def test_latest_carries_maps(spark, tmp_path):
+    schema = "stream_id string, sequence_nr long, metadata map<string,string>, features array<struct<m:map<string,string>>>"
+    apply = upsert_latest(str(tmp_path / "l"), ["stream_id"], ["sequence_nr"])
+    for b in range(4):
+        apply(spark.createDataFrame([("s", b, {"k": str(b)}, [({"a": "b"},)]), ("t", -b, None, None)], schema), b)
+    got = {r["stream_id"]: (r["sequence_nr"], r["metadata"]) for r in read_latest(spark, str(tmp_path / "l")).collect()}
+    assert got == {"s": (3, {"k": "3"}), "t": (0, None)}
+    assert sorted(p.name for p in (tmp_path / "l").iterdir()) == ["v2", "v3"]
 
 
 def test_index_in_a_stream(spark, tmp_path):
