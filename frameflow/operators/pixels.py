@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZED = "struct<image binary, width int, height int>"
@@ -38,14 +39,46 @@ def luma(bgr: np.ndarray) -> np.ndarray:
 def grayscale(image: Column, width: Column, channels: int = 3) -> Column:
     """Gray bytes of interleaved BGR bytes; with one channel the image itself, cut to whole rows."""
 
+    if channels == 1:
+        return F.when((width >= 1) & (F.octet_length(image) >= width), F.substring(image, F.lit(1), (F.floor(F.octet_length(image) / width) * width).cast("int")))
+
     @F.pandas_udf("binary")
     def run(im: pd.Series, w: pd.Series) -> pd.Series:
         arrays = [to_array(i, x, channels) for i, x in zip(im, w, strict=True)]
-        return pd.Series([None if a is None else (a if channels == 1 else luma(a)).tobytes() for a in arrays], dtype=object)
+        return pd.Series([None if a is None else luma(a).tobytes() for a in arrays], dtype=object)
 
     return run(image, width)
 
 
+#: Bytes of images that one step of a batch-wise kernel holds.
+STEP = 4 << 20
+
+
+def steps(im: pd.Series, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Images in steps of bounded size: (places in the series, first sample of each, row of each sample, samples).
+
+    size: how many bytes of each image count; images of size 0 are left out.
+    """
+    some = np.flatnonzero(size > 0)
+    group = np.cumsum(size[some]) // STEP
+    for part in np.split(some, np.flatnonzero(np.diff(group)) + 1):
+        if len(part):
+            n = size[part]
+            data = np.frombuffer(b"".join(im.iloc[i][: size[i]] for i in part.tolist()), np.uint8)
+            yield part, np.cumsum(n) - n, np.repeat(np.arange(len(part)), n), data
+
+
+def levels(df: DataFrame, image: str, table: Sequence[int]) -> DataFrame:
+    """Every sample of an image replaced by its level's entry in a table of 256."""
+    entries = bytes(table)
+
+    @F.pandas_udf("binary")
+    def run(im: pd.Series) -> pd.Series:
+        return pd.Series([None if i is None else bytes(i).translate(entries) for i in im], dtype=object)
+
+    return df.withColumn(image, run(image))
+
+
 def half(a: np.ndarray) -> np.ndarray:
     """Each sample the mean of up to four; odd sides are rounded up."""
     a = np.pad(a, ((0, a.shape[0] % 2), (0, a.shape[1] % 2)), mode="edge").astype(np.float64)
@@ -122,14 +155,18 @@ def histogram(image: Column, bins: int = 255, low: float = 0, high: float = 256,
     @F.pandas_udf("array<int>")
     def run(im: pd.Series) -> pd.Series:
         which = np.floor((np.arange(256) - low) * bins / (high - low)).astype(int)
-        inside = (np.arange(256) >= low) & (np.arange(256) < high)
-        out = []
-        for i in im:
-            if i is None or not len(i):
-                out.append(None)
-                continue
-            n = np.bincount(np.frombuffer(bytes(i), np.uint8)[channel::channels], minlength=256)
-            out.append(np.bincount(which[inside], n[inside], minlength=bins)[:bins].astype(np.int32))
+        inside = np.flatnonzero((np.arange(256) >= low) & (np.arange(256) < high))
+        inside = inside[(which[inside] >= 0) & (which[inside] < bins)]
+        out: list = [None] * len(im)
+        for part, start, row, data in steps(im, np.array([0 if i is None else len(i) for i in im], np.int64)):
+            if channels > 1:
+                own = np.flatnonzero((np.arange(len(data)) - start[row]) % channels == channel)
+                row, data = row[own], data[own]
+            level = np.bincount(row * 256 + data, minlength=256 * len(part)).reshape(len(part), 256)
+            counts = np.zeros((len(part), bins), np.int32)
+            np.add.at(counts.T, which[inside], level[:, inside].T.astype(np.int32))
+            for i, c in zip(part.tolist(), counts, strict=True):
+                out[i] = c
         return pd.Series(out, dtype=object)
 
     return run(image)
@@ -163,11 +200,23 @@ def equalize_color(image: Column, width: Column) -> Column:
 
 
 def equalize(image: Column, width: Column) -> Column:
-    """Histogram equalization."""
+    """Histogram equalization, as equalize_array, of all images of a batch at once."""
 
     @F.pandas_udf("binary")
     def run(im: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([None if (a := to_array(i, x)) is None else equalize_array(a).tobytes() for i, x in zip(im, w, strict=True)], dtype=object)
+        size = np.array([0 if i is None or x is None or not x >= 1 else len(i) // int(x) * int(x) for i, x in zip(im, w, strict=True)], np.int64)
+        out: list = [None] * len(im)
+        for part, start, row, data in steps(im, size):
+            n = np.bincount(row * 256 + data, minlength=256 * len(part)).reshape(len(part), 256)
+            total = n.sum(axis=1, keepdims=True)
+            first = n[np.arange(len(part)), (n > 0).argmax(axis=1)][:, None]
+            flat = first == total
+            level = np.rint((np.cumsum(n, axis=1) - first) * 255.0 / np.where(flat, 1, total - first))
+            table = np.where(flat, np.arange(256), np.clip(level, 0, 255)).astype(np.uint8)
+            body = table[row, data].tobytes()
+            for i, a, z in zip(part.tolist(), start.tolist(), (start + size[part]).tolist(), strict=True):
+                out[i] = body[a:z]
+        return pd.Series(out, dtype=object)
 
     return run(image, width)
 

@@ -327,6 +327,58 @@ def feature_combine(spark, d):
     return c.select("stream_id", "sequence_nr", "n_particles", "image_type", text.alias("features"))
 
 
+@query(f"""with k as (select distinct {S} as stream_id, sequence_nr from features where stream_id is not null and sequence_nr is not null),
+  q as (select {S} as stream_id, sequence_nr, false as own, name, sparse, dense from features where stream_id is not null and sequence_nr is not null and name is not null),
+  p as (select {S} as stream_id, sequence_nr, unnest(features) as f from frames where stream_id is not null and sequence_nr is not null),
+  e as (select * from q union all select stream_id, sequence_nr, true, f.name, f.sparse, f.dense from p
+    where f.name is not null and exists (select 1 from k where k.stream_id = p.stream_id and k.sequence_nr = p.sequence_nr)),
+  s as (select stream_id, sequence_nr, name, unnest(sparse) as p from e),
+  n as (select stream_id, sequence_nr, name, count(*) as n_sparse, sum(coalesce(len(p."values"), 0))::bigint as n_values, sum(coalesce(p.duration, 0))::bigint as duration from s group by 1, 2, 3),
+  t as (select stream_id, sequence_nr, name, max({{'own': own, 'n': len(dense.data)}}) filter (where len(dense.data) > 0) as t from e group by 1, 2, 3)
+select t.stream_id, t.sequence_nr, t.name, coalesce(n_sparse, 0)::bigint as n_sparse, coalesce(n_values, 0)::bigint as n_values, coalesce(duration, 0)::bigint as duration,
+  coalesce(t.t.n, 0)::bigint as n_dense from t left join n on n.stream_id = t.stream_id and n.sequence_nr = t.sequence_nr and n.name = t.name""")
+def combine_descriptors(spark, d):
+    keep = "stream_id is not null and sequence_nr is not null"
+    f = frames(spark, d).filter(keep).select(F.lit("frame").alias("type"), "stream_id", "sequence_nr", "features")
+    x = table(spark, d, "features").withColumn("stream_id", normal_stream()).filter(keep)
+    x = x.select(F.lit("feature").alias("type"), "stream_id", "sequence_nr", "name", "sparse", "dense")
+    keys = x.select("stream_id", "sequence_nr").distinct()
+    c = geometry.combine_features(routing.fan_in(f.join(keys, ["stream_id", "sequence_nr"], "left_semi"), x))
+    return _described(c.select("stream_id", "sequence_nr", F.explode("features").alias("f")), ["stream_id", "sequence_nr"])
+
+
+def _described(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of a merged feature f: its descriptors, their values and durations, and its dense values."""
+    total = lambda c: F.aggregate("f.sparse", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(c(x).cast("long"), F.lit(0)))
+    size = lambda c: F.when(c.isNotNull(), F.size(c)).otherwise(0)
+    n_values, duration = total(lambda x: size(x["values"])), total(lambda x: x["duration"])
+    return df.select(*keys, "f.name", F.size("f.sparse").cast("long").alias("n_sparse"), n_values.alias("n_values"), duration.alias("duration"), size(F.col("f.dense.data")).cast("long").alias("n_dense"))
+
+
+@query(rf"""with t as (select regexp_replace({S}, '_[^_]*$', '') as stream_id, sequence_nr, bbox as b, unnest(features) as f from frames
+    where regexp_matches({S}, '_[0-9]+_[0-9]+$') and sequence_nr is not null),
+  s as (select stream_id, sequence_nr, f.name as name, b, unnest(f.sparse) as p from t)
+select stream_id, sequence_nr, name, count(*) as n_sparse, sum(coalesce(len(p."values"), 0))::bigint as n_values, sum(coalesce(p.duration, 0))::bigint as duration,
+  max(p.bbox.x + b.x)::int as right_most from s group by 1, 2, 3""")
+def recombine_descriptors(spark, d):
+    t = frames(spark, d).filter(is_tile("stream_id") & F.col("sequence_nr").isNotNull()).select("stream_id", "sequence_nr", "bbox", "features")
+    r = geometry.recombine(t, features="features").select("stream_id", "sequence_nr", F.explode("features").alias("f")).filter("size(f.sparse) > 0")
+    x = F.array_max(F.transform("f.sparse", lambda p: p["bbox"]["x"]))
+    return _described(r.withColumn("right_most", x), ["stream_id", "sequence_nr", "right_most"]).drop("n_dense")
+
+
+@query(f"""with a as (select delivery_id, bbox as fb, flatten(list_transform(coalesce(features, []), lambda f: list_transform(coalesce(f.sparse, []), lambda p: {{'n': f.name, 'b': p.bbox, 'v': coalesce(len(p."values"), 0)}}))) as al
+    from frames where bbox is not null),
+  u as (select delivery_id, fb, al, unnest(list_filter(al, lambda p: p.n = 'haar' and p.b is not null)) as q, generate_subscripts(list_filter(al, lambda p: p.n = 'haar' and p.b is not null), 1) - 1 as roi_nr from a),
+  r as (select *, greatest(q.b.x, fb.x) as x, greatest(q.b.y, fb.y) as y, least(q.b.x + q.b.width, fb.x + fb.width) as x2, least(q.b.y + q.b.height, fb.y + fb.height) as y2 from u)
+select delivery_id, roi_nr::int as roi_nr, coalesce(list_sum(list_transform(list_filter(al, lambda p: p.b.x >= x and p.b.y >= y and p.b.x < x2 and p.b.y < y2), lambda p: p.v)), 0)::bigint as n_values
+from r where x2 > x and y2 > y""")
+def roi_descriptors(spark, d):
+    r = geometry.regions(frames(spark, d).select("delivery_id", "stream_id", "bbox", "features"), ["haar"])
+    size = lambda c: F.when(c.isNotNull(), F.size(c)).otherwise(0)
+    return r.select("delivery_id", "roi_nr", F.aggregate("inside", F.lit(0).cast("long"), lambda s, p: s + size(p["descriptor"]["values"])).alias("n_values"))
+
+
 @query("""with s as (select delivery_id, bbox.width as w, bbox.height as h, unnest(features) as f from frames where sequence_nr % 13 < 2 and lower(trim(type)) = 'frame')
 select delivery_id, f.name as name, coalesce(len(f.sparse), -1)::int as n_sparse, floor(w * 0.66 + 0.5)::int as width from s""")
 def sequential_ops(spark, d):

@@ -75,13 +75,13 @@ def pipeline_sequential(spark, d):
 
 
 def pipeline_tiles(spark, d):
-    """Frames cut in tiles; tiles 1 and 2 gray, all united and put together again."""
-    f = frames(spark, d).filter("stream_id is not null and sequence_nr is not null").groupBy("stream_id", "sequence_nr").agg(F.min("bbox").alias("bbox"))
-    whole = f.withColumn("bbox", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("bbox.width").alias("width"), F.col("bbox.height").alias("height"))).filter("bbox.width is not null")
-    tiles = geometry.tiling(whole, 2, 2)
-    gray = tiles.filter(F.col("tile").isin(1, 2)).withColumn("kind", F.lit("gray"))
-    rest = tiles.filter(~F.col("tile").isin(1, 2)).withColumn("kind", F.lit("color"))
-    return geometry.recombine(routing.fan_in(gray, rest), count=4)
+    """Frames cut in tiles; tiles 1 and 2 inverted on an edge of their own, all united and put together again."""
+    f = _kept(spark, d, "image").withColumn("width", F.lit(W))
+    tiles = geometry.tile_pixels(f, 2, 2)
+    dark = pixels.levels(routing.tiles_only(tiles, [1, 2]), "image", [255 - i for i in range(256)])
+    rest = tiles.filter(~F.col("tile").isin(1, 2))
+    back = geometry.paste_pixels(routing.fan_in(dark, rest))
+    return back.select("stream_id", "sequence_nr", "width", "height", F.hex("image").alias("image"))
 
 
 def pipeline_flow(spark, d):
@@ -131,6 +131,11 @@ def pipeline_deploy(spark, d):
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("pipeline_")}
 ORACLES = {
     "pipeline_match": _requests("(p.proto_id % 2)::varchar"),
-    "pipeline_tiles": """with f as (select lower(trim(stream_id)) as stream_id, sequence_nr, min(bbox) as b from frames where stream_id is not null and sequence_nr is not null group by 1, 2)
-select stream_id, sequence_nr, (b.width // 2 * 2)::int as width, (b.height // 2 * 2)::int as height, 4 as n_tiles from f where b.width >= 4 and b.height >= 4""",
+    "pipeline_tiles": """with k as (select lower(trim(stream_id)) as stream_id, sequence_nr, min({'d': delivery_id, 'i': image}).i as image
+    from frames where stream_id is not null and sequence_nr is not null and octet_length(image) >= 8 group by 1, 2),
+  s as (select stream_id, sequence_nr, hex(image) as x, octet_length(image) // 8 // 2 as h from k),
+  p as (select stream_id, sequence_nr, h, i, ('0x' || substr(x, 2 * i + 1, 2))::int as v, (i % 8 >= 4)::int + 2 * (i // 8 >= h)::int as tile
+    from s, range(0, 4096) r(i) where h >= 2 and i < 16 * h)
+select stream_id, sequence_nr, 8 as width, (2 * h)::int as height, string_agg(printf('%02X', case when tile in (1, 2) then 255 - v else v end), '' order by i) as image
+from p group by stream_id, sequence_nr, h""",
 }

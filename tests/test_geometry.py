@@ -104,3 +104,37 @@ def test_sequential(spark):
     f = frame(spark, 10, 10).withColumn("image", F.lit(b"1")).withColumn("features", F.expr("array(named_struct('name','a','duration',0L,'sparse',array(1),'dense',null))"))
     assert "image" not in geometry.sequential(f, [], retain_image=False).columns
     assert geometry.sequential(f, [lambda d: d.filter("sequence_nr = 1")], output_frame=False).select("name").collect() == [("a",)]
+
+
+def test_merging_keeps_whole_descriptors(spark):
+    one = "struct<stream_id:string,metadata:map<string,string>,bbox:struct<x:int,y:int,width:int,height:int>,duration:long,values:array<float>>"
+    feature = f"struct<name:string,metadata:map<string,string>,sparse:array<{one}>,dense:struct<dims:array<int>,data:array<float>>>"
+    schema = f"stream_id string, sequence_nr long, bbox struct<x:int,y:int,width:int,height:int>, features array<{feature}>"
+    point = lambda x, v: ("c_0", {"p": "q"}, (x, 1, 0, 0), 7, v)
+    dense = lambda v, r=1, c=2: ([r, c, 1], [float(v)] * (r * c))
+    rows = [
+        ("c_1_0", 5, (0, 0, 2, 2), [("sift", {"a": "0"}, [point(1, [1.0])], dense(1))]),
+        ("c_1_1", 5, (2, 0, 2, 2), [("sift", {"a": "1", "b": "1"}, [point(0, [2.0, 3.0])], dense(2)), ("face", None, None, None)]),
+        ("c_1_2", 5, (0, 2, 2, 2), [("sift", None, None, dense(3, 2, 3)), ("sift", None, [], ([2, 2], [1.0] * 4))]),
+    ]
+    row = geometry.recombine(spark.createDataFrame(rows, schema), features="features").first()
+    face, sift = row["features"]
+    assert (row["width"], row["height"], row["n_tiles"]) == (4, 4, 3) and (face["name"], face["sparse"], face["dense"]) == ("face", [], None)
+    assert [(d["bbox"]["x"], d["bbox"]["y"], d["duration"], d["values"], d["metadata"]) for d in sift["sparse"]] == [(1, 1, 7, [1.0], {"p": "q"}), (2, 1, 7, [2.0, 3.0], {"p": "q"})]
+    assert sift["metadata"] == {"a": "0", "b": "1"} and sift["dense"]["dims"] == [4, 4, 1]
+    assert sift["dense"]["data"] == [1, 1, 2, 2] + [0] * 4 + [3, 3, 3, 0] * 2
+
+    feature_rows = [("s", 1, "feature", "sift", [point(2, [9.0])], dense(5, 2, 2)), ("s", 1, "feature", "sift", [point(1, None)], dense(4)), ("s", 1, "feature", "sift", None, None)]
+    got = geometry.combine_features(spark.createDataFrame(feature_rows, f"stream_id string, sequence_nr long, type string, name string, sparse array<{one}>, dense struct<dims:array<int>,data:array<float>>")).first()
+    (f,) = got["features"]
+    assert [(d["bbox"]["x"], d["values"], d["stream_id"]) for d in f["sparse"]] == [(1, None, "c_0"), (2, [9.0], "c_0")] and f["dense"]["data"] == [5.0] * 4
+
+
+def test_tiles_with_pixels_round_trip(spark):
+    image = bytes(range(24))
+    df = spark.createDataFrame([("c", 1, bytearray(image), 4), ("c", 2, bytearray(image[:7]), 4), ("c", 3, None, 4)], "stream_id string, sequence_nr long, image binary, width int")
+    tiles = geometry.tile_pixels(df, 2, 2, 1)
+    first = tiles.filter("tile = 0").first()
+    assert (bytes(first["image"]), first["width"], first["stream_id"]) == (bytes([0, 1, 2, 4, 5, 6, 8, 9, 10, 12, 13, 14]), 3, "c_0")
+    back = geometry.paste_pixels(tiles).collect()
+    assert [(r["stream_id"], r["sequence_nr"], r["width"], r["height"], bytes(r["image"])) for r in back] == [("c", 1, 4, 6, image)]
