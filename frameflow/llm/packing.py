@@ -7,7 +7,8 @@ of copies gathers in one of them. In a shard, items go from the longest to the s
 their residual space; each bin carries a bitmap of its sources and one of its clusters of equal texts. The search
 starts at the tightest bin that fits and goes on to its successors until it meets one without a conflict. As long as
 the shard has fewer bins than its tokens need at least, an item without such a bin opens one; after that the source,
-and last the cluster, may repeat, so that conflicts never cost a container.
+and last the cluster, may repeat, so that conflicts never cost a container. With ``strict`` they never repeat, and an
+item without such a bin opens one, whatever the space that costs.
 
 Defined results: null and empty texts have no tokens and are left out; a null source is a source; rows that share a
 doc_id are packed each on its own; equal lengths go in order of doc_id; an empty table gives no rows.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from frameflow.llm.tokens import VOCABULARY, encoder, text_slices
 from frameflow.session import materialize
 
-PART = "container long, doc_id long, token_start long, token_end long"
+PART = "container long, doc_id long, token_start long, token_end long, source long, copy long"
 
 
 def measured(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -48,7 +49,7 @@ def measured(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, source long, copy long, tokens long")
 
 
-def best_fit(size: np.ndarray, source: np.ndarray, copy: np.ndarray, capacity: int) -> np.ndarray:
+def best_fit(size: np.ndarray, source: np.ndarray, copy: np.ndarray, capacity: int, strict: bool = False) -> np.ndarray:
     """The bin of each item; items come longest first and none exceeds the capacity."""
     least = -(-int(size.sum()) // capacity)
     source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(source.tolist()))}
@@ -73,7 +74,7 @@ def best_fit(size: np.ndarray, source: np.ndarray, copy: np.ndarray, capacity: i
             if not sources[b] & sb:
                 hit = at
                 break
-        if hit < 0 and len(sources) >= least:
+        if hit < 0 and len(sources) >= least and not strict:
             hit = relaxed if relaxed >= 0 else lenient
         if hit < 0:
             b, left = len(sources), capacity - n
@@ -90,7 +91,7 @@ def best_fit(size: np.ndarray, source: np.ndarray, copy: np.ndarray, capacity: i
     return out
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, strict: bool):
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         doc, tokens, source, copy = (group.column(c).to_numpy() for c in ("doc_id", "tokens", "source", "copy"))
@@ -101,20 +102,31 @@ def _pack(capacity: int):
         nth = np.arange(len(over)) - np.repeat(np.cumsum(full) - full, full)
         item = np.flatnonzero(rest)
         item = item[np.lexsort((doc[item], -rest[item]))]
-        bins = best_fit(rest[item], source[item], copy[item], capacity) + len(over)
+        bins = best_fit(rest[item], source[item], copy[item], capacity, strict) + len(over)
         start = full[item] * capacity
         of = np.r_[np.arange(len(over)), bins]
         lo = np.r_[nth * capacity, start]
         hi = np.r_[(nth + 1) * capacity, start + rest[item]]
-        return pa.table({"container": pa.array(of + (int(shard) << 32)), "doc_id": np.r_[doc[over], doc[item]], "token_start": lo, "token_end": hi})
+        return pa.table({"container": pa.array(of + (int(shard) << 32)), "doc_id": np.r_[doc[over], doc[item]], "token_start": lo, "token_end": hi, "source": np.r_[source[over], source[item]], "copy": np.r_[copy[over], copy[item]]})
 
     return run
 
 
-def packed_containers(documents: DataFrame, capacity: int = 2048, bins: int = 1024, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(container, doc_id, token_start, token_end): the token ranges of each container; token_end is exclusive."""
+def packed_containers(documents: DataFrame, capacity: int = 2048, bins: int = 1024, vocabulary: str = VOCABULARY, strict: bool = False) -> DataFrame:
+    """(container, doc_id, token_start, token_end, source, copy): the token ranges of each container, token_end being
+    exclusive, with hashes of the item's source and text."""
     items = materialize(measured(documents, vocabulary), "sizes")
     total = items.agg(F.sum("tokens")).first()[0] or 0  # one number
     shards = max(1, -(-total // (capacity * bins)))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(_pack(capacity), PART)
+    return dealt.groupBy("shard").applyInArrow(_pack(capacity, strict), PART)
+
+
+def described_containers(parts: DataFrame, capacity: int) -> DataFrame:
+    """(container, n_parts, tokens, unused, same_source, same_text): of each container its parts, their tokens and the
+    unused space, and how many parts share their source or their text with an earlier one in it."""
+    tokens = F.sum(F.col("token_end") - F.col("token_start"))
+    n = F.count(F.lit(1))
+    return parts.groupBy("container").agg(
+        n.alias("n_parts"), tokens.alias("tokens"), (F.lit(capacity) - tokens).alias("unused"), (n - F.count_distinct("source")).alias("same_source"), (n - F.count_distinct("copy")).alias("same_text")
+    )

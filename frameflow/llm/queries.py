@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.clusters import clusters, described
 from frameflow.llm.knn import close_pairs, similar
-from frameflow.llm.packing import packed_containers
+from frameflow.llm.packing import described_containers, packed_containers
 from frameflow.llm.runs import collapsed_runs
 from frameflow.llm.spans import share_of_records, shared_spans
 from frameflow.llm.tokens import encode_column
@@ -82,13 +82,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     """Posts in containers of 2,048 tokens: container, doc_id and token range."""
-    return packed_containers(table(spark, d, "documents"), 2048)
+    return packed_containers(table(spark, d, "documents"), 2048).select("container", "doc_id", "token_start", "token_end")
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    """Of each container its number of parts, tokens and unused space."""
-    tokens = F.sum(F.col("token_end") - F.col("token_start"))
-    return p7_pack(spark, d).groupBy("container").agg(F.count(F.lit(1)).alias("n_parts"), tokens.alias("tokens"), (F.lit(2048) - tokens).alias("unused"))
+    """Of each container its number of parts, tokens, unused space, and parts that repeat a source or a text in it."""
+    return described_containers(packed_containers(table(spark, d, "documents"), 2048), 2048)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

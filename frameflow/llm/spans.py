@@ -16,8 +16,8 @@ compared by 64-bit hashes of the same anchor's windows.)
 An anchor with more than ``hot`` branching occurrences is decided by a count of its windows with partial aggregation
 instead, so that no task gathers it.
 
-Defined results: a null text and a null doc_id have no spans; copies within one record are not shared; an empty table
-gives no rows; other columns are not read.
+Defined results: a null text and a null doc_id have no spans; copies within one record are not shared, nor are rows that
+repeat a record with its doc_id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.llm.tokens import SEPARATOR, code_points, mixed, text_slices
-from frameflow.session import materialize, release
+from frameflow.operators.skew import lookup
+from frameflow.session import discard, materialize, release
 
 GRAM = 24
 INDEX_BITS = 34
@@ -94,25 +95,19 @@ def _anchor_rows(s: pa.RecordBatch, min_chars: int, gram: int) -> tuple[Text, np
     return text, at, h, doc, lo, hi, near
 
 
-def _nodes(min_chars: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in text_slices(b, "text"):
-                _, at, h, doc, _, _, near = _anchor_rows(s, min_chars, gram)
-                ids = s.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(near.view(np.int64))], names=["h", "doc_id", "near"])
+ANCHOR = "h long, doc_id long, near long, place long"
 
-    return run
 
+def _anchors(min_chars: int, gram: int):
+    """Every anchor with its neighbourhood's hash and its place (position, and how far the neighbourhood reaches)."""
 
-def _places(min_chars: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in text_slices(b, "text"):
-                text, at, h, doc, lo, hi, _ = _anchor_rows(s, min_chars, gram)
+                text, at, h, doc, lo, hi, near = _anchor_rows(s, min_chars, gram)
                 ids = s.column("doc_id").to_numpy(zero_copy_only=False)
                 place = ((at - text.start[doc]) << 32) | ((at - lo) << 16) | (hi - at)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(place)], names=["h", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(near.view(np.int64)), pa.array(place)], names=["h", "doc_id", "near", "place"])
 
     return run
 
@@ -237,13 +232,14 @@ def shared_spans(documents: DataFrame, min_chars: int = 100, gram: int = GRAM, h
         raise ValueError("min_chars must be at least gram and below 32768")
     spark = documents.sparkSession
     docs = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= min_chars)
-    seen = docs.mapInArrow(_nodes(min_chars, gram), "h long, doc_id long, near long").groupBy("h")
-    counted = seen.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.min("near").alias("n1"), F.max("near").alias("n2"), F.count(F.lit(1)).alias("n"))
+    anchors = materialize(docs.mapInArrow(_anchors(min_chars, gram), ANCHOR), "anchors")
+    counted = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.min("near").alias("n1"), F.max("near").alias("n2"), F.count(F.lit(1)).alias("n"))
     nodes = materialize(counted.filter("a < z").select("h", (F.col("n1") != F.col("n2")).alias("branch"), (F.col("n") > hot).alias("hot")), "nodes")
     release(spark)
-    places = docs.mapInArrow(_places(min_chars, gram), "h long, doc_id long, place long")
-    marked = places.join(nodes, "h").groupBy("doc_id").agg(F.collect_list(F.struct("place", "h", "branch")).alias("marks"))
+    places = lookup(anchors.select("h", "doc_id", "place"), nodes.select("h", "branch"), ["h"], anchors.count())
+    marked = places.groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("place", "h", "branch"))).alias("marks"))  # the anchors of one record
     marked = materialize(marked, "marks")
+    discard(anchors)
     release(spark)
     pieces = materialize(docs.join(marked, "doc_id").select("doc_id", "text", "marks").mapInArrow(_pieces(min_chars, gram), PIECE), "pieces")
     release(spark)

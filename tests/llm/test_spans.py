@@ -88,3 +88,13 @@ def test_very_long_and_empty(spark):
 def test_shares(spark):
     docs = spark.createDataFrame([(1, "a" * 150, *"xyz"), (2, "a" * 120, *"xyz"), (3, None, *"xyz")], SCHEMA)
     assert sorted(map(tuple, share_of_records(docs, shared_spans(docs)).collect())) == [(1, 150, 1, 150), (2, 120, 1, 120), (3, 0, 0, 0)]
+
+
+def test_repeated_rows_count_once(spark):
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefgh ") for _ in range(900))
+    rows = [(1, text), (1, text), (2, "x" + text[100:800]), (3, text[:50])]
+    got = sorted(tuple(x) for x in shared_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 100, 800), (2, 1, 701)]
+    alone = spark.createDataFrame(rows[:2], "doc_id long, text string")
+    assert shared_spans(alone).count() == 0

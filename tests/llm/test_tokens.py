@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from frameflow.llm import tokens as T
-from frameflow.llm.packing import best_fit, packed_containers
+from frameflow.llm.packing import best_fit, described_containers, packed_containers
 from frameflow.sources.tables import table
 
 public = pytest.importorskip("public_tokenizers")
@@ -108,10 +108,10 @@ def check_ranges(parts, sizes, capacity):
 def test_containers_of_the_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     sizes = {r["doc_id"]: len(r["ids"]) for r in T.encode_column(docs, F.col("doc_id"), F.col("text")).collect()}
-    parts = [tuple(r) for r in packed_containers(docs, 2048).collect()]
+    parts = [tuple(r)[:4] for r in packed_containers(docs, 2048).collect()]
     fill = check_ranges(parts, sizes, 2048)
     assert len(fill) <= 1.01 * -(-sum(sizes.values()) // 2048) + 1
-    several = [tuple(r) for r in packed_containers(docs, 512, bins=50).collect()]
+    several = [tuple(r)[:4] for r in packed_containers(docs, 512, bins=50).collect()]
     fill = check_ranges(several, sizes, 512)
     assert len({c >> 32 for c in fill}) > 3 and len(fill) <= 1.08 * -(-sum(sizes.values()) // 512)
 
@@ -120,7 +120,7 @@ def test_dirty_documents_are_packed(spark):
     rows = [(1, "a b c", None), (2, "a b c", "s"), (3, None, "s"), (4, "", "s"), (None, "x", "s"), (5, "word " * 100, "s")] + [(10 + i, "same text here", "hot") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     sizes = {r["doc_id"]: len(r["ids"]) for r in T.encode_column(df, F.col("doc_id"), F.col("text")).collect() if r["doc_id"]}
-    fill = check_ranges([tuple(r) for r in packed_containers(df, 16).collect()], sizes, 16)
+    fill = check_ranges([tuple(r)[:4] for r in packed_containers(df, 16).collect()], sizes, 16)
     assert sum(fill.values()) == sum(sizes.values())
     assert packed_containers(df.filter("doc_id < 0"), 16).count() == 0
 
@@ -138,3 +138,19 @@ def test_best_fit_avoids_conflicts_and_wastes_nothing():
     free = np.arange(600)  # without conflicts it is plain best fit
     plain = len(set(best_fit(size, free, free, 100).tolist()))
     assert fill.max() <= 100 and len(fill) <= 1.02 * plain + 1
+
+
+def test_strict_packing_never_repeats():
+    r = np.random.default_rng(2)
+    size, source, copy = np.sort(r.integers(1, 60, 400))[::-1], r.integers(0, 9, 400), r.integers(0, 50, 400)
+    bins = best_fit(size, source, copy, 100, strict=True)
+    for b in set(bins.tolist()):
+        i = np.flatnonzero(bins == b)
+        assert size[i].sum() <= 100 and len(set(source[i].tolist())) == len(i) == len(set(copy[i].tolist()))
+
+
+def test_containers_are_described(spark):
+    df = spark.createDataFrame([(1, 0, 10, 5, 1), (1, 1, 0, 3, 1), (2, 0, 0, 16, 2)], "container long, doc_id long, token_start long, token_end long, source long")
+    df = df.withColumns({"token_start": F.lit(0), "copy": F.col("doc_id")})
+    got = sorted(tuple(x) for x in described_containers(df, 20).collect())
+    assert got == [(1, 2, 8, 12, 1, 0), (2, 1, 16, 4, 0, 0)]
