@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.vectors import BITS, Rows, fit_forest, packed, scans, sorted_parts
 from frameflow.operators.skew import lookup
-from frameflow.session import discard, materialize
+from frameflow.session import discard, materialize, release
 
 NEAR = "kind string, id long, other long, cosine double"
 STEPS = "kind string, id long, steps array<int>"
@@ -181,14 +181,16 @@ def similar(
     heads = groups.select("kind", F.get("ids", F.lit(0)).alias("id"), F.lit(1).alias("many"))
     entries = firsts.filter("r = 1").select("kind", "id", *codes, "vec").join(heads, ["kind", "id"], "left").withColumn("many", F.coalesce("many", F.lit(0)))
     parts = sorted_parts(spark, n, reach)
+    release(spark)
 
     steps = scans(firsts.filter("r = 1").withColumn("vec", F.lit(b"")), trees, _profiles(candidates), STEPS, 0, parts, together=trees)
     per = steps.groupBy("kind", "id").agg(F.flatten(F.collect_list("steps")).alias("steps"))  # one list per tree
     length = per.mapInArrow(_lengths(candidates), "kind string, id long, length int")
     arrays = materialize(entries.join(length, ["kind", "id"]), "entries")
-    discard(steps)
+    discard(steps, firsts)
+    release(spark)
 
-    found = scans(arrays, trees, _search(k, min_cosine, reach, query_step), NEAR, reach, parts, ("length", "many"))
+    found = scans(arrays, trees, _search(k, min_cosine, reach, query_step), NEAR, reach, parts, ("length", "many"), together=2)
     top = Window.partitionBy("kind", "id").orderBy(F.desc("cosine"), "other")  # at most trees x 3k rows each
     best = found.groupBy("kind", "id", "other").agg(F.max("cosine").alias("cosine")).filter(F.col("cosine") >= min_cosine)
     best = best.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
@@ -197,7 +199,7 @@ def similar(
         best = _of_groups(table, groups, best, k, n, min_cosine)
     if query_step > 1:
         best = best.filter(F.col("id") % query_step == 0)
-    discard(found, firsts, arrays)
+    discard(found, arrays)
     return best
 
 
