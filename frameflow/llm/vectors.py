@@ -284,7 +284,7 @@ def _runs_of_kinds(t: pa.Table, more: Sequence[str]) -> list[Rows]:
 
 
 def scan(table: DataFrame, trees: Sequence[int], visit: Visit, schema: str, reach: int, parts: int, more: Sequence[str] = ()) -> DataFrame:
-    """What ``visit`` gives for the sorted arrays of the trees, as a materialised table of ``schema``.
+    """What ``visit`` gives for the sorted arrays of the trees, as a table of ``schema``, written unless reach is 0.
 
     visit gets the rows of one kind in one partition, and then, with ``cut``, the ``reach`` rows (none if 0) on either
     side of each edge. ``more``: further numeric columns of the table that the rows carry.
@@ -324,10 +324,12 @@ def scan(table: DataFrame, trees: Sequence[int], visit: Visit, schema: str, reac
         edge_schema = ", ".join([schema, "tree int, pid int, side int", *[f"e_{f.name} {f.dataType.simpleString()}" for f in fields]])
         one = sorted_.mapInArrow(runner(tree), edge_schema)
         found = one if found is None else found.unionByName(one)
+    if not reach:
+        return found.select(*names)
     found = materialize(found, "arrays")
     inner = found.filter("side is null").select(*names)
     inner._frameflow_steps = [found]
-    if parts == 1 or not reach:
+    if parts == 1:
         return inner
     edges = found.filter("side is not null").select("tree", "pid", "side", *[F.col(f"e_{c}").alias(c) for c in columns])
     pids = edges.select("tree", "pid").distinct()  # one row per partition that isn't empty
@@ -360,8 +362,9 @@ def scans(table: DataFrame, trees: int, visit: Visit, schema: str, reach: int, p
         one = scan(table, range(t, min(trees, t + together)), visit, schema, reach, parts, more)
         steps.append(one)
         out = one if out is None else out.unionByName(one)
-        release(table.sparkSession)
-    out._frameflow_steps = steps if len(steps) > 1 else out._frameflow_steps
+        if reach:
+            release(table.sparkSession)
+    out._frameflow_steps = steps if len(steps) > 1 else getattr(out, "_frameflow_steps", [])
     return out
 
 
