@@ -10,7 +10,9 @@ than ``follow`` is a peak; all others are labelled by following the pointers to
 pointers. The sets of the peaks, as weighted records at their means, pass through the same step again, level by level,
 until no pointer is left: a set split over several peaks comes together. At last the sets are fitted to their means:
 members that lie too far from the mean leave, and vectors outside join the nearest mean that takes them, pass by pass,
-until no set changes (or the sets come back to those of an earlier pass).
+until no set changes (or the sets come back to those of an earlier pass). From the second pass on only what changed is
+compared: members with the mean of a set that got or lost vectors, vectors outside with such means, and vectors that left
+their set with all means; sums of sets get what joined and lose what left.
 
 A vector outside is compared with the means that lie next to it in the arrays of all means, at least ``means`` on either
 side in every tree (with fewer means: with all), in groups of bounded size, so that the work grows with the number of
@@ -38,7 +40,7 @@ from frameflow.session import discard, materialize, release
 DENSE = "kind string, id long, density double"
 POINTER = "kind string, id long, parent long, cosine double"
 SUMS = "kind string, label long, n double, total binary, mark long"
-HIT = "kind string, id long, label long, cosine double"
+HIT = "kind string, id long, label long, cosine double, vec binary"
 #: Rows that share one product, and vectors outside that meet a block of means in one task.
 PIECE, OUTSIDE = 512, 32_768
 
@@ -48,28 +50,39 @@ PIECE, OUTSIDE = 512, 32_768
 
 def density(u: np.ndarray, v: np.ndarray, weight: np.ndarray, link: float) -> np.ndarray:
     """Of each row of u the summed cosine, times weight, of the rows of v from ``link`` on."""
-    s = u @ v.T
-    s *= s >= link
-    return (s @ weight.astype(np.float32)).astype(np.float64)
+    return (_linked(u @ v.T, link) @ weight.astype(np.float32)).astype(np.float64)
+
+
+def _linked(s: np.ndarray, link: float) -> np.ndarray:
+    return np.multiply(s, s >= np.float32(link), out=s)
 
 
 def nearest_denser(u: np.ndarray, v: np.ndarray, rank_u: np.ndarray, rank_v: np.ndarray, follow: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each row of u the nearest row of v with a smaller rank (the denser come first) and the cosine to it, or -1."""
-    s = u @ v.T
-    s[rank_v[None, :] >= rank_u[:, None]] = -2
+    near, cosine = _largest(u @ v.T, rank_v[None, :] < rank_u[:, None])
+    return np.where((cosine >= follow) & (cosine > 0), near, -1), cosine.astype(np.float64)
+
+
+def _largest(s: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of the largest positive allowed entry of each row; a row without one has a value of 0."""
+    s = np.multiply(s, allowed)
     near = s.argmax(axis=1)
-    cosine = s[np.arange(len(s)), near].astype(np.float64)
-    return np.where(cosine >= follow, near, -1), cosine
+    return near, s[np.arange(len(s)), near]
 
 
 def _densities(link: float, reach: int):
     def visit(rows: Rows) -> Iterator[pa.RecordBatch]:
         u, w = rows.units(), rows.more["weight"]
+        w32 = w.astype(np.float32)
         out = np.zeros(len(rows))
-        for a, z, lo, hi in rows.pieces(PIECE):
-            lo, hi = max(lo, a - reach), min(hi, z + reach)
-            if lo < hi:
-                out[a:z] += density(u[a:z], u[lo:hi], w[lo:hi], link)
+        for a, z, lo, hi in rows.meets(PIECE, reach):  # each product serves both sides
+            s = u[a:z] @ u[lo:hi].T
+            if s.max() < link:
+                continue
+            s = _linked(s, link)
+            out[a:z] += s @ w32[lo:hi]
+            if lo != a:
+                out[lo:hi] += w32[a:z] @ s
         if rows.cut is None:
             out -= w  # a row is no neighbour of its own
         some = np.flatnonzero(out > 1e-3)
@@ -82,45 +95,60 @@ def _densities(link: float, reach: int):
 def _pointers(follow: float, reach: int):
     def visit(rows: Rows) -> Iterator[pa.RecordBatch]:
         u, ids = rows.units(), rows.ids
-        rank = np.empty(len(rows), np.int64)
-        rank[np.lexsort((ids, -rows.more["density"]))] = np.arange(len(rows))
-        for a, z, lo, hi in rows.pieces(PIECE):
-            lo, hi = max(lo, a - reach), min(hi, z + reach)
-            if lo >= hi:
+        rank = np.empty(len(rows), np.int32)
+        rank[np.lexsort((ids, -rows.more["density"]))] = np.arange(len(rows), dtype=np.int32)
+        cosine, parent = np.zeros(len(rows), np.float32), np.full(len(rows), -1)
+
+        def better(a: int, z: int, lo: int, hi: int, s: np.ndarray) -> None:
+            near, value = _largest(s, rank[None, lo:hi] < rank[a:z, None])
+            new = a + np.flatnonzero(value > cosine[a:z])
+            cosine[new], parent[new] = value[new - a], lo + near[new - a]
+
+        for a, z, lo, hi in rows.meets(PIECE, reach):
+            s = u[a:z] @ u[lo:hi].T
+            if s.max() < follow:
                 continue
-            near, cosine = nearest_denser(u[a:z], u[lo:hi], rank[a:z], rank[lo:hi], follow)
-            some = np.flatnonzero(near >= 0)
-            if len(some):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows.kind] * len(some)), pa.array(ids[a + some]), pa.array(ids[lo + near[some]]), pa.array(cosine[some])], names=["kind", "id", "parent", "cosine"]
-                )
+            better(a, z, lo, hi, s)
+            if lo != a:
+                better(lo, hi, a, z, np.ascontiguousarray(s.T))
+        some = np.flatnonzero((cosine >= follow) & (parent >= 0))
+        if len(some):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rows.kind] * len(some)), pa.array(ids[some]), pa.array(ids[parent[some]]), pa.array(cosine[some].astype(np.float64))], names=["kind", "id", "parent", "cosine"]
+            )
 
     return visit
 
 
 def peaks(records: DataFrame, trees: int, n: int, link: float, follow: float, reach: int) -> DataFrame:
     """(kind, id, root): each record with the peak that its pointers lead to. records: kind, id, c0 .., vec, weight."""
+    led = led_to_peaks(records, trees, n, link, follow, reach)
+    alone = records.select("kind", "id").join(led.select("kind", "id"), ["kind", "id"], "left_anti")
+    return led.unionByName(alone.withColumn("root", F.col("id")))
+
+
+def led_to_peaks(records: DataFrame, trees: int, n: int, link: float, follow: float, reach: int) -> DataFrame:
+    """The rows of ``peaks`` that are no peaks themselves."""
     spark = records.sparkSession
     parts = sorted_parts(spark, n, reach)
     dense = scans(records, trees, _densities(link, reach), DENSE, reach, parts, ("weight",))
-    per = dense.groupBy("kind", "id").agg(F.round(F.sum("density"), 3).alias("density"))
-    ranked = materialize(records.join(per, ["kind", "id"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)) + F.col("weight")), "dense")
+    per = dense.groupBy("kind", "id").agg(F.round(F.sum("density"), 3).alias("density")).filter("density > 0")
+    # A record without neighbours from ``link`` on has none from ``follow`` on either: it points nowhere.
+    ranked = materialize(records.join(per, ["kind", "id"]).withColumn("density", F.col("density") + F.col("weight")), "dense")
     discard(dense)
-    pointer = scans(ranked.filter("density > weight"), trees, _pointers(follow, reach), POINTER, reach, parts, ("density",))
+    pointer = scans(ranked, trees, _pointers(follow, reach), POINTER, reach, parts, ("density",))
     nearest = pointer.groupBy("kind", "id").agg(F.max(F.struct("cosine", (-F.col("parent")).alias("parent"))).alias("p"))
-    nearest = materialize(nearest.select("kind", "id", (-F.col("p.parent")).alias("root")), "pointers")
-    discard(pointer)
+    roots = materialize(nearest.select("kind", "id", (-F.col("p.parent")).alias("root")), "pointers")
+    discard(pointer, ranked)
     # Follow the pointers: those of a round lead twice as far as those of the round before.
-    roots = materialize(nearest.unionByName(ranked.select("kind", "id", F.lit(None).cast("long").alias("root")).join(nearest.select("kind", "id"), ["kind", "id"], "left_anti")).select("kind", "id", F.coalesce("root", "id").alias("root")), "roots")
-    discard(ranked, nearest)
     while True:
-        above = roots.filter("root <> id").select("kind", F.col("id").alias("root"), F.col("root").alias("up"))
+        above = roots.select("kind", F.col("id").alias("root"), F.col("root").alias("up"))
         step = lookup(roots, above, ["kind", "root"], n, "left")
         old, roots = roots, materialize(step.select("kind", "id", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
-        moved = roots.filter("moved").isEmpty()
+        done = roots.filter("moved").isEmpty()
         roots = _plain(roots, ["kind", "id", "root"])
         discard(old)
-        if moved:
+        if done:
             return roots
 
 
@@ -166,11 +194,17 @@ def _of_kinds(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
         yield kind, b if len(rows) == b.num_rows else b.take(pa.array(rows))
 
 
-def _member_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for kind, part in _of_kinds(b):
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            yield _summed(kind, part.column("label").to_numpy(zero_copy_only=False), np.ones(len(ids)), unit(unpack(part.column("vec"))).astype(np.float64), _mixed(ids))
+def _member_sums(sign: int):
+    """Of each label the sums of its rows, or with sign -1 what they take away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for kind, part in _of_kinds(b):
+                mark = _mixed(part.column("id").to_numpy(zero_copy_only=False))
+                total = sign * unit(unpack(part.column("vec"))).astype(np.float64)
+                yield _summed(kind, part.column("label").to_numpy(zero_copy_only=False), np.full(len(mark), float(sign)), total, mark if sign > 0 else np.uint64(0) - mark)
+
+    return run
 
 
 def _sum_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +234,12 @@ def sets_of(members: DataFrame) -> DataFrame:
 
     Sums are added where the rows lie before they are exchanged, so that the largest set costs no task more than others.
     """
-    part = members.filter("label is not null").select("kind", "id", "label", "vec").mapInArrow(_member_sums, SUMS)
-    local = part.repartition("kind", "label").sortWithinPartitions("kind", "label")
-    return materialize(local.mapInArrow(_sum_sums, SUMS), "sets")
+    return _added(members.filter("label is not null").select("kind", "id", "label", "vec").mapInArrow(_member_sums(1), SUMS))
+
+
+def _added(sums: DataFrame) -> DataFrame:
+    local = sums.repartition("kind", "label").sortWithinPartitions("kind", "label")
+    return materialize(local.mapInArrow(_sum_sums, SUMS).filter("n > 0"), "sets")
 
 
 def _records(sets: DataFrame, forest: Forest) -> DataFrame:
@@ -224,28 +261,30 @@ def _records(sets: DataFrame, forest: Forest) -> DataFrame:
     return materialize(sets.mapInArrow(run, f"kind string, id long, {', '.join(n + ' long' for n in names)}, vec binary, weight double"), "means")
 
 
-def _merged(labels: DataFrame, sets: DataFrame, forest: Forest, follow: float, reach: int, n: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Labels and records (see _records) after the sets' own peaks, from ``follow`` on, have drawn the other sets in,
-    level by level, until none draws another; and whether any did."""
-    any_ = False
+def _merged(sets: DataFrame, forest: Forest, follow: float, reach: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The sets and their records (see _records) after the sets' own peaks, from ``follow`` on, have drawn the other sets
+    in, level by level, until none draws another; and (kind, label, to) of those drawn, None if there are none."""
+    into = None
     while True:
         records = _records(sets, forest)
         count = records.count()
-        roots = peaks(records, forest.n_trees, count, follow, follow, reach) if count else None
-        drawn = materialize(roots.filter("root <> id").select("kind", F.col("id").alias("label"), "root"), "drawn") if count else None
-        if drawn is None or drawn.isEmpty():
-            return labels, records, any_
-        any_ = True
+        led = led_to_peaks(records, forest.n_trees, count, follow, follow, reach) if count else None
+        if led is None or led.isEmpty():
+            return sets, records, into
+        drawn = led.withColumnRenamed("id", "label")
         joined = lookup(sets, drawn, ["kind", "label"], count, "left").select("kind", F.coalesce("root", "label").alias("label"), "n", "total", "mark")
-        sets = materialize(joined.repartition("kind", "label").sortWithinPartitions("kind", "label").mapInArrow(_sum_sums, SUMS), "sets")
-        rest = [c for c in labels.columns if c not in ("kind", "id", "label")]
-        labels = materialize(lookup(labels, drawn, ["kind", "label"], n, "left").select("kind", "id", F.coalesce("root", "label").alias("label"), *rest), "labels")
-        discard(roots, records)
-        release(labels.sparkSession)
+        sets = _added(joined)
+        new = drawn.withColumnRenamed("root", "to")
+        if into is not None:  # what a set drawn now had drawn before goes along
+            on = drawn.select("kind", F.col("label").alias("to"), "root")
+            new = new.unionByName(into.join(on, ["kind", "to"], "left").select("kind", "label", F.coalesce("root", "to").alias("to")))
+        into = materialize(new, "into")
+        discard(led, records)
+        release(sets.sparkSession)
 
 
-def _fits(floor: float):
-    """Members too far from their mean lose their label."""
+def _fits(floor: float, names: list[str]):
+    """Members too far from their mean lose their label; ``was`` is the one they had."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,8 +294,8 @@ def _fits(floor: float):
                 if len(own):
                     near = part.select(["vec", "mean"]).take(pa.array(own))
                     cosine[own] = np.einsum("ij,ij->i", *(unit(unpack(near.column(c))).astype(np.float64) for c in ("vec", "mean")))
-                label = pc.if_else(pa.array(cosine >= floor), part.column("label"), pa.scalar(None, pa.int64()))
-                out = {c: part.column(c) for c in part.schema.names if c != "mean"} | {"label": label, "cosine": pa.array(cosine)}
+                label = pc.if_else(pa.array(cosine >= floor), part.column("was"), pa.scalar(None, pa.int64()))
+                out = {c: part.column(c) for c in ("kind", "id", "was")} | {"label": label, "cosine": pa.array(cosine)} | {c: part.column(c) for c in names}
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
@@ -298,16 +337,17 @@ def _nearest_mean(floor: float):
                     best = s.argmax(axis=1)
                     v = s[np.arange(len(s)), best].astype(np.float64)
                     hit = np.flatnonzero(v >= floor)
-                    out.append(pa.table({"kind": [kind] * len(hit), "id": part.column("id").take(rows).take(pa.array(hit)), "label": labels[best[hit]], "cosine": v[hit]}))
-        empty = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("label", pa.int64()), ("cosine", pa.float64())])
+                    at = rows.take(pa.array(hit))
+                    out.append(pa.table({"kind": [kind] * len(hit), "id": part.column("id").take(at), "label": labels[best[hit]], "cosine": v[hit], "vec": part.column("vec").take(at)}))
+        empty = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("label", pa.int64()), ("cosine", pa.float64()), ("vec", pa.binary())])
         return pa.concat_tables([t.cast(empty) for t in out]) if out else empty.empty_table()
 
     return run
 
 
 def taken(outside: DataFrame, records: DataFrame, trees: int, floor: float, min_size: int, means: int) -> DataFrame:
-    """(kind, id, label, cosine): the nearest mean, from floor on, of vectors outside, among those next to them in the
-    arrays of means. outside: kind, id, c0 .., vec; records as of _records."""
+    """(kind, id, label, cosine, vec): the nearest mean, from floor on, of vectors outside, among those next to them in
+    each array of means. outside: kind, id, c0 .., vec; records as of _records."""
     large = F.col("weight") >= min_size
     counts = records.agg(F.count_if(large), F.count_if(~large)).first()
     n_blocks = [max(1, k // means) for k in counts]
@@ -332,22 +372,52 @@ def taken(outside: DataFrame, records: DataFrame, trees: int, floor: float, min_
         hits = materialize(vectors.unionByName(spread).groupBy(*at, "share").applyInArrow(_nearest_mean(floor), HIT), "hits")
         discard(placed, where)
         found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy("kind", "id").agg(F.max(F.struct("cosine", (-F.col("label")).alias("label"))).alias("b"))
-    return best.select("kind", "id", (-F.col("b.label")).alias("_label"), F.col("b.cosine").alias("_cosine"))
-
-
-def _fitted(state: DataFrame, records: DataFrame, n: int, trees: int, floor: float, min_size: int, means: int) -> DataFrame:
-    """The state after one pass: members near enough to their mean stay, vectors outside join the nearest mean that
-    takes them. state: kind, id, label (null: outside), cosine, c0 .., vec."""
-    with_mean = lookup(state, records.select("kind", F.col("id").alias("label"), F.col("vec").alias("mean")), ["kind", "label"], n, "left")
-    names = state.columns
-    known = materialize(with_mean.select(*names, "mean").mapInArrow(_fits(floor), state.schema), "known")
-    more = taken(known.filter("label is null"), records, trees, floor, min_size, means)
-    joined = known.join(more, ["kind", "id"], "left").withColumns({"cosine": F.when(F.col("label").isNull(), F.col("_cosine")).otherwise(F.col("cosine")), "label": F.coalesce("label", "_label")})
-    out = materialize(joined.select(*names), "state")
-    discard(known)
-    release(state.sparkSession)
-    return out
+    return found
+
+
+def _fitted(
+    touched: DataFrame, targets: DataFrame, outside: DataFrame, records: DataFrame, fresh: DataFrame | None, labels: DataFrame, sets: DataFrame, n: int, trees: int, floor: float, min_size: int, means: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels and sets after one pass, and the vectors that left their set in it: members near enough to their mean stay,
+    vectors outside join the nearest mean that takes them.
+
+    touched: kind, id, label, c0 .., vec of the members to compare with their mean, the others stay; targets: kind, label,
+    to, mean. Vectors that left just now meet all records, those of ``outside`` only the fresh ones (None: all).
+    """
+    names = [*[f"c{t}" for t in range(trees)], "vec"]
+    with_mean = lookup(touched, targets, ["kind", "label"], n, "left").select("kind", "id", F.coalesce("to", "label").alias("was"), "mean", *names)
+    codes = ", ".join(f"{c} long" for c in names[:-1])
+    known = materialize(with_mean.mapInArrow(_fits(floor, names), f"kind string, id long, was long, label long, cosine double, {codes}, vec binary"), "known")
+    gone = known.filter("label is null")
+    left = gone.select("kind", "id", *names)
+    if fresh is None:
+        hits = taken(outside.select("kind", "id", *names).unionByName(left), records, trees, floor, min_size, means)
+    else:
+        hits = taken(left, records, trees, floor, min_size, means)
+        if not fresh.isEmpty():
+            hits = hits.unionByName(taken(outside.select("kind", "id", *names), fresh, trees, floor, min_size, means))
+    seen = known.select("kind", "id", F.struct("label", "cosine").alias("_now"))
+    now = [F.when(F.col("_now").isNotNull(), F.col(f"_now.{c}")).otherwise(F.col(c)).alias(c) for c in ("label", "cosine")]
+    after = materialize(labels.join(seen, ["kind", "id"], "left").select("kind", "id", *now), "after")
+    best = hits.groupBy("kind", "id").agg(F.max(F.struct("cosine", (-F.col("label")).alias("label"), "vec")).alias("b"))
+    best = best.select("kind", "id", (-F.col("b.label")).alias("_label"), F.col("b.cosine").alias("_cosine"), F.col("b.vec").alias("vec"))
+    joined = materialize(best.join(after.filter("label is null").select("kind", "id"), ["kind", "id"]), "joined")
+    new = after.join(joined.drop("vec"), ["kind", "id"], "left")
+    new = materialize(new.select("kind", "id", F.coalesce("label", "_label").alias("label"), F.when(F.col("label").isNull(), F.col("_cosine")).otherwise(F.col("cosine")).alias("cosine")), "labels")
+    lost = gone.select("kind", "id", F.col("was").alias("label"), "vec").mapInArrow(_member_sums(-1), SUMS)
+    won = joined.select("kind", "id", F.col("_label").alias("label"), "vec").mapInArrow(_member_sums(1), SUMS)
+    sets = _added(sets.unionByName(lost).unionByName(won))
+    discard(after, joined)
+    release(labels.sparkSession)
+    return new, sets, left
+
+
+def _moved(labels: DataFrame, into: DataFrame | None, n: int) -> DataFrame:
+    """Labels after sets were drawn into others."""
+    if into is None:
+        return labels
+    moved = lookup(labels, into, ["kind", "label"], n, "left")
+    return materialize(moved.select("kind", "id", F.coalesce("to", "label").alias("label"), "cosine"), "labels")
 
 
 def _mark(sets: DataFrame) -> tuple:
@@ -368,34 +438,53 @@ def clusters(
         return table.select("kind", "id", *[F.lit(None).cast(t).alias(c) for c, t in (("cluster", "long"), ("size", "long"), ("cosine", "double"))])
     link = 0.95 * min_cosine**2  # two vectors at min_cosine from one mean have about the square of it between them
     follow = 0.85 * min_cosine  # the nearest of many is nearer; a lower bound would lead pointers into other clusters
-    roots = peaks(table.withColumn("weight", F.lit(1.0)), trees, n, link, follow, reach)
-    labels = roots.withColumnRenamed("root", "label")
-    sets = sets_of(labels.join(table.select("kind", "id", "vec"), ["kind", "id"]))
-    labels, records, _ = _merged(labels, sets.filter("n > 1"), forest, min_cosine, reach, n)
-    state = materialize(table.join(labels.select("kind", "id", "label"), ["kind", "id"]).withColumn("cosine", F.lit(None).cast("double")), "state")
+    led = led_to_peaks(table.withColumn("weight", F.lit(1.0)), trees, n, link, follow, reach)
+    sets_of_peaks = led.unionByName(led.select("kind", F.col("root").alias("id"), "root").distinct()).withColumnRenamed("root", "label")
+    state = materialize(table.join(sets_of_peaks, ["kind", "id"], "left"), "state")
+    discard(led)
+    touched, outside = state.filter("label is not null"), state.filter("label is null")
+    sets, records, into = _merged(sets_of(touched), forest, min_cosine, reach)
+    labels = _moved(materialize(state.select("kind", "id", "label", F.lit(None).cast("double").alias("cosine")), "labels"), into, n)
+    own = touched.select("kind", "label").distinct().withColumn("to", F.col("label"))
+    if into is not None:
+        own = own.drop("to").join(into, ["kind", "label"], "left").withColumn("to", F.coalesce("to", "label"))
+    targets = own.join(records.select("kind", F.col("id").alias("to"), F.col("vec").alias("mean")), ["kind", "to"], "left")
     # The first pass takes vectors from farther away, since the mean of few vectors lies off that of their cluster.
-    floor, merging, seen = 0.9 * min_cosine, True, set()
+    floor, merging, seen, fresh = 0.9 * min_cosine, True, set(), None
+    compared = sets
     while True:
-        old, state = state, _fitted(state, records, n, trees, floor, min_size, means)
-        discard(old)
+        labels, sets, left = _fitted(touched, targets, outside, records, fresh, labels, sets, n, trees, floor, min_size, means)
+        outside = outside.select(left.columns).unionByName(left)
         floor = min_cosine
-        sets = sets_of(state)
-        if merging:
-            state, records, merging = _merged(state, sets.filter("n > 1"), forest, (1 + min_cosine) / 2, reach, n)
-            seen.add(_mark(sets))
-            continue
         mark = _mark(sets)
-        if mark in seen:  # no set changes any more, or a few vectors go round in a cycle
-            if sets.filter(F.col("n") < min_size).isEmpty():
-                break
-            sets = sets.filter(F.col("n") >= min_size)
-            mark = _mark(sets)
-        seen.add(mark)
-        records = _records(sets, forest)
-    sizes = state.filter("label is not null").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster")).filter(F.col("size") >= min_size)
-    out = lookup(state.select("kind", "id", "label", "cosine"), sizes, ["kind", "label"], n, "left")
+        if merging:
+            drawing, records, into = _merged(sets.filter("n > 1"), forest, (1 + min_cosine) / 2, reach)
+            seen.add(mark)
+            merging = into is not None
+            labels, sets, kept = _moved(labels, into, n), drawing.unionByName(sets.filter("n <= 1")), drawing
+        else:
+            kept = sets
+            if mark in seen:  # no set changes any more, or a few vectors go round in a cycle
+                kept = sets.filter(F.col("n") >= min_size)
+                if sets.filter(F.col("n") < min_size).isEmpty():
+                    break
+                mark = _mark(kept)
+            seen.add(mark)
+            records = _records(kept, forest)
+        # A set that no vector left or joined has the mean it had: its members' cosines hold, and so does what vectors
+        # outside that met it, at this floor or a lower one, were told.
+        same = kept.join(compared.select("kind", "label", "n", "mark"), ["kind", "label", "n", "mark"], "left_semi").select("kind", "label", F.lit(True).alias("same"))
+        marks = materialize(records.select("kind", F.col("id").alias("label"), F.col("vec").alias("mean")).join(same, ["kind", "label"], "left").withColumn("same", F.coalesce("same", F.lit(False))), "marks")
+        fresh = records.join(marks.filter("not same").select("kind", F.col("label").alias("id")), ["kind", "id"], "left_semi")
+        members = lookup(_plain(labels.filter("label is not null"), ["kind", "id", "label", "cosine"]), marks.select("kind", "label", "same"), ["kind", "label"], n, "left")
+        moving = members.filter(~F.coalesce("same", F.lit(False)) | F.col("cosine").isNull() | (F.col("cosine") < floor)).select("kind", "id", "label")
+        touched = materialize(table.join(moving, ["kind", "id"]), "touched")
+        targets = marks.select("kind", "label", F.col("label").alias("to"), "mean")
+        compared = kept
+    sizes = labels.filter("label is not null").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster")).filter(F.col("size") >= min_size)
+    out = lookup(labels, sizes, ["kind", "label"], n, "left")
     out = out.select("kind", "id", "cluster", "size", F.when(F.col("cluster").isNotNull(), F.col("cosine")).alias("cosine"))
-    discard(table)
+    discard(table, state)
     return out
 
 

@@ -259,6 +259,17 @@ class Rows:
                 if z > self.cut:
                     yield max(a, self.cut), z, 0, self.cut
 
+    def meets(self, size: int, reach: int) -> Iterator[tuple[int, int, int, int]]:
+        """Pairs of pieces, rows [a, z) and later rows [lo, hi) or the same ones, in which any two rows that may meet and
+        lie at most ``reach`` apart come together once."""
+        n = len(self)
+        for a in range(0, n if self.cut is None else self.cut, size):
+            z = min(a + size, n if self.cut is None else self.cut)
+            if self.cut is None:
+                yield a, z, a, z
+            for lo in range(z if self.cut is None else self.cut, min(z + reach, n), size):
+                yield a, z, lo, min(lo + size, z + reach, n)
+
 
 Visit = Callable[[Rows], Iterator[pa.RecordBatch]]
 
