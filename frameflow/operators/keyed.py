@@ -18,6 +18,8 @@ from frameflow.session import materialize
 
 #: Interval tables up to this many rows (about 60 bytes each) are broadcast, larger ones meet the rows salted.
 BROADCAST_ROWS = 200_000
+#: Places of keys in the order in which heavy ones are selected, by hash; keys may share one.
+PLACES = 2**31 - 1
 #: Salts of larger ones at least; more where the session has more shuffle partitions.
 SALTS = 16
 
@@ -117,4 +119,22 @@ def heavy_keys(profile: DataFrame, percent: int) -> DataFrame:
     return profile.filter(F.col("key").isNotNull() & (F.col("n_rows") * 100 >= F.lit(total * percent)))
 
 
-__all__ = ["heavy_keys", "key_profile"]
+def selected_heavy_keys(df: DataFrame, key: Column, percent: int, bits: int = 10, places: int = PLACES) -> DataFrame:
+    """(key, n_rows) of the keys that hold at least ``percent`` percent of all rows, the null key's rows counting among
+    them, by exact selection: no table of all keys is made.
+
+    With the rows in the order of their keys' places, a key with so many rows covers one of the ranks that lie half as
+    far apart. The places at these ranks are selected; only keys there, a bounded number of places, are counted.
+    ``places`` is a power of two less one.
+    """
+    base = df.select(key.alias("key"))
+    place = F.when(F.col("key").isNotNull(), F.xxhash64("key").bitwiseAND(F.lit(places)))
+    ranks = -(-200 // percent)
+    profile = key_profile(base, F.lit(0), place, [i / ranks for i in range(1, ranks + 1)], bits=bits).first()  # one row
+    total = profile["n_rows"] if profile else 0
+    at = sorted({profile[f"q{i}"] for i in range(ranks)} - {None}) if profile else []
+    counts = base.filter(place.isin(at)).groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.filter(F.col("n_rows") * 100 >= F.lit(total * percent))
+
+
+__all__ = ["heavy_keys", "key_profile", "selected_heavy_keys"]

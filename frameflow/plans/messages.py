@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameflow.operators.keyed import heavy_keys, key_profile
+from frameflow.operators.keyed import key_profile, selected_heavy_keys
 from frameflow.operators.messages import arrival_key, duplicate_deliveries, kept_messages, message_key
 from frameflow.schema import normal_stream
 from frameflow.session import materialize
@@ -24,8 +24,7 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Streams that hold at least 3 % of all rows of frames."""
-    profile = key_profile(table(spark, d, "frames"), normal_stream(), F.col("sequence_nr"), ())
-    return heavy_keys(profile, 3).select(F.col("key").alias("stream_id"))
+    return selected_heavy_keys(table(spark, d, "frames"), normal_stream(), 3).select(F.col("key").alias("stream_id"))
 
 
 def p5_streams(spark: SparkSession, d: str) -> DataFrame:

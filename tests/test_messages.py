@@ -4,10 +4,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from frameflow.operators.keyed import heavy_keys, key_profile
+from frameflow.operators import keyed
+from frameflow.operators.keyed import heavy_keys, key_profile, selected_heavy_keys
 from frameflow.operators.messages import MessageIndex, duplicate_deliveries, kept_messages
 from frameflow.operators.ordered import neighbour_pairs
 from frameflow.operators.skew import lookup
+from frameflow.plans.messages import p5_found
 from frameflow.streaming.history import ingest_batches
 
 SCHEMA = "delivery_id long, batch_nr long, arrived_at timestamp, request_id long, stream_id string, sequence_nr long, h1 string, prefix string"
@@ -87,6 +89,32 @@ def test_quantiles_are_exact(spark, broadcast_rows):
     assert {x["key"] for x in heavy_keys(spark.createDataFrame(list(out.values())), 30).collect()} == {"hot"}
 
 
+@pytest.mark.parametrize("seed, n, places", [(1, 3000, 2**31 - 1), (2, 3000, 7), (3, 33, 2**31 - 1), (4, 1, 2**31 - 1)])
+def test_heavy_keys_by_selection(spark, seed, n, places):
+    r = random.Random(seed)
+    keys = [r.choice(["hot", "hot", None, f"k{int(r.paretovariate(0.5)) % 300}"]) for _ in range(n - 1)] + ["one"]
+    exact = ["edge"] * 3 + [f"single{i}" for i in range(97)]  # exactly 3 %
+    for rows in (keys, exact):
+        got = {x["key"]: x["n_rows"] for x in selected_heavy_keys(spark.createDataFrame([(k,) for k in rows], "key string").repartition(3), F.col("key"), 3, places=places).collect()}
+        assert got == {k: rows.count(k) for k in set(rows) - {None} if rows.count(k) * 100 >= 3 * len(rows)}
+
+
+def test_heavy_keys_of_empty_and_null_tables(spark):
+    for rows in ([], [(None,)] * 3):
+        assert selected_heavy_keys(spark.createDataFrame(rows, "k string"), F.col("k"), 3).count() == 0
+
+
+def test_p5_found_selects(spark, monkeypatch):
+    rounds, refine = [], keyed._refine
+    monkeypatch.setattr(keyed, "_refine", lambda *a: rounds.append(1) or refine(*a))
+    frames = spark.read.parquet("/root/testdata/sf0.001/frames.parquet")
+    counts = {x[0]: x[1] for x in frames.groupBy(F.lower(F.trim("stream_id"))).count().collect()}
+    total = sum(counts.values())
+    got = sorted(x["stream_id"] for x in p5_found(spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted(k for k, n in counts.items() if k is not None and n * 100 >= 3 * total)
+    assert rounds
+
+
 def test_profile_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k string, v long")
     p = key_profile(df, F.col("k"), F.col("v"))
